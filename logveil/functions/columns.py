@@ -15,4 +15,4 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def truthy(value: Column) -> Column:
     """False for null and for the JSON spellings of an empty value."""
-    return ~F.trim(F.coalesce(value, F.lit(""))).isin("", "[]", "{}", "false", "0", "null")
+    return ~F.coalesce(value, F.lit("")).isin("", "[]", "{}", "false", "0", "null")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logveil.scratch import spread, stage
+
 # Detectors of the derived log, (name, raw detection type, pattern).
 # The edges are spelled out so that they mean the same in every regex dialect.
 _EDGE_L, _EDGE_R = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
@@ -91,6 +93,21 @@ def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_landed: dict[tuple[str, str], DataFrame] = {}
+
+
+def landed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived log as a written table, made once per session and folder.
+
+    The queries read it as a log is read in production: stored with its detections, so that
+    scans take only the columns they need and no pattern is matched twice.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _landed:
+        _landed[key] = stage(spread(message_log(spark, sf_dir)), "message_log")
+    return _landed[key]
+
+
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stored verdict per message: the verdict-table judge reads it."""
     return table(spark, sf_dir, "labels").select(
