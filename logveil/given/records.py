@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def minute_stamp(minutes: Column) -> Column:
+    """ISO text of 2024-01-01 plus some minutes, the same in every session time zone."""
+    moment = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + minutes * F.expr("interval 1 minute")
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def _subtype(name: str, entity: Column) -> Column:
     if name != "Email Address":
         return F.lit(name.upper())
@@ -64,12 +70,7 @@ def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 50 == 7, F.lit("timeout")).alias("errors"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("event_ts"),
         F.when(F.col("doc_id") % 10 == 3, F.lit(""))
-        .otherwise(
-            F.date_format(
-                F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60),
-                "yyyy-MM-dd'T'HH:mm:ss",
-            )
-        )
+        .otherwise(minute_stamp(F.col("doc_id")))
         .alias("created_at"),
         (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"),
         *[

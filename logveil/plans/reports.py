@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from logveil.functions.text import percent
 from logveil.operators.detections import existing_detections
-from logveil.operators.filters import needs_action, sensitive_only
+from logveil.operators.filters import (
+    is_detected,
+    is_valid,
+    needs_action,
+    sensitive_only,
+    with_tenant,
+)
 from logveil.operators.ranks import assessment_ordinal
 
 PER_TENANT = Window.partitionBy("tenant_id")
@@ -32,8 +38,6 @@ class FalsePositiveReport:
 
 def message_counts(records: DataFrame) -> DataFrame:
     """Messages per tenant with and without a detection, and the rows left out of all totals."""
-    from logveil.operators.filters import is_detected, is_valid, with_tenant
-
     flagged = with_tenant(records).select(
         "tenant_id", is_valid().alias("valid"), is_detected().alias("found")
     )
