@@ -20,7 +20,8 @@ EVIDENCE_CHARS, EVIDENCE_MIN, EVIDENCE_MAX = 200, 2, 4
 def json_in_text(raw: Column) -> Column:
     """The JSON inside free text: outermost braces if they parse, else the text without fences."""
     braces = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(raw, "```(?:json)?", "")), "`+$", ""))
+    unfenced = F.regexp_replace(raw, "```(?:json)?", "")
+    bare = F.regexp_replace(unfenced, r"^\s+|\s*`*\s*$", "")
     return F.coalesce(
         F.when(F.try_parse_json(braces).isNotNull(), braces),
         F.when(F.try_parse_json(bare).isNotNull(), bare),

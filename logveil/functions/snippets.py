@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logveil.functions.columns import let
 from logveil.functions.text import head_tail
@@ -16,7 +17,10 @@ MIN_LAST_CHUNK = 60
 WINDOWS = "array<struct<s:int,e:int>>"
 
 
-@F.pandas_udf("array<struct<s int, len int>>")
+HIT = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("len", T.IntegerType())])
+
+
+@F.pandas_udf(T.ArrayType(HIT))
 def entity_hits(texts: pd.Series, entities: pd.Series) -> pd.Series:
     """Every start of every entity, case-insensitive and overlapping, with the entity's length."""
 

@@ -60,7 +60,7 @@ def _detection(name: str, raw_type: str, hits: Column, fires: Column) -> Column:
 
 def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as a message log: one tenant per language, detections found by pattern."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     base = docs.join(toxic, "doc_id", "left").select(
         F.col("doc_id").alias("seq"),
@@ -105,7 +105,7 @@ def landed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _landed:
-        _landed[key] = stage(spread(message_log(spark, sf_dir)), "message_log")
+        _landed[key] = stage(message_log(spark, sf_dir), "message_log")
     return _landed[key]
 
 

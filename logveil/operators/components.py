@@ -37,6 +37,19 @@ def _point_below_to_lowest(edges: DataFrame) -> DataFrame:
     return _downhill(others.unionByName(low.withColumnRenamed("low", "b")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node hangs on one other node, and none that others hang on hangs itself."""
+    ends = edges.select("tenant_id", F.col("a").alias("node"), F.lit(1).alias("hangs")).unionByName(
+        edges.select("tenant_id", F.col("b").alias("node"), F.lit(0).alias("hangs"))
+    )
+    return (
+        ends.groupBy("tenant_id", "node")
+        .agg(F.sum("hangs").alias("up"), F.count_if(F.col("hangs") == 0).alias("down"))
+        .where("up > 1 or (up = 1 and down > 0)")
+        .isEmpty()
+    )
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(tenant_id, node, root) with the lowest node of each component as its root.
 
@@ -44,15 +57,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     minimum and a join against it, so a node with very many neighbours is never gathered in
     one place. Nodes without an edge do not appear.
     """
-    stars, mark = stage(_downhill(edges), "edges"), None
-    while True:
-        found = stars.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.xxhash64("tenant_id", "a", "b").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if (found["n"], found["h"]) == mark:
-            break
-        mark = (found["n"], found["h"])
+    stars = stage(_downhill(edges), "edges")
+    while not _are_stars(stars):
         stars = stage(_point_below_to_lowest(_point_to_lowest(stars)), "edges")
     member = stars.select("tenant_id", F.col("a").alias("node"), F.col("b").alias("root"))
     roots = stars.select("tenant_id", F.col("b").alias("node"), F.col("b").alias("root")).distinct()

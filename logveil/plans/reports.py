@@ -18,7 +18,7 @@ from logveil.operators.filters import (
 )
 from logveil.operators.ranks import assessment_ordinal
 
-PER_TENANT = Window.partitionBy("tenant_id")
+
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def sensitive_rate(results: DataFrame) -> DataFrame:
 
 def suggestions(results: DataFrame, keywords_shown: int = 6) -> DataFrame:
     """Sensitive clusters ranked by confidence, then size, then cluster order."""
-    order = PER_TENANT.orderBy(
+    order = Window.partitionBy("tenant_id").orderBy(
         F.desc(F.coalesce("sensitivity_confidence", F.lit(0.0))),
         F.desc("message_count"),
         "label",
@@ -120,7 +120,7 @@ def ranked_categories(results: DataFrame) -> DataFrame:
 
     A tenant has as many rows as it has detector categories, so one window per tenant is small.
     """
-    order = PER_TENANT.orderBy(
+    order = Window.partitionBy("tenant_id").orderBy(
         assessment_ordinal(F.col("overall_assessment")),
         F.desc(F.coalesce("estimated_fp_rate", F.lit(0.0))),
         F.desc("mean_prior"),
