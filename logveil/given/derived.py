@@ -11,6 +11,7 @@ from logveil.operators.detections import scored_detections
 from logveil.operators.filters import valid_records
 from logveil.operators.judge import stored_category_results
 from logveil.operators.payloads import category_payloads, sampled_examples
+from logveil.scratch import spread
 
 EVENT_SCHEMA = "event_id bigint, user_id bigint, event_type string"
 
@@ -21,7 +22,7 @@ def valid_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one tenant, clustered by source, with normalized text."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.lit("all").alias("tenant_id"),
         F.col("doc_id").alias("seq"),
         F.substring("source", 4, 10).cast("int").alias("label"),

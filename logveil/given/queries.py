@@ -23,7 +23,7 @@ from logveil.operators import (
     payloads,
 )
 from logveil.plans import explorer, false_positives, intent, reports
-from logveil.scratch import shared_folder, stage
+from logveil.scratch import shared_folder, spread, stage
 from logveil.sources import ledger, readers, writers
 from logveil.streaming.ingest import ingest
 from logveil.streaming.windows import detection_rate_by_window
@@ -130,7 +130,7 @@ def normalized_tokens(spark, sf_dir):
 
 
 def shingle_sets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn(
+    docs = spread(table(spark, sf_dir, "documents")).withColumn(
         "shingles", text.word_shingles(text.normalize_space(c("text")))
     )
     return docs.select(

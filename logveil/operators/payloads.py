@@ -18,6 +18,7 @@ from logveil.operators.detections import (
 )
 from logveil.operators.filters import frequent_categories
 from logveil.operators.keywords import keyword_lists, top_keywords
+from logveil.scratch import stage
 
 KEY = ["tenant_id", "seq"]
 CLUSTER = ["tenant_id", "label"]
@@ -41,10 +42,15 @@ def cluster_payloads(
     `messages` has tenant_id, seq, created_at and clean_text; `labelled` has tenant_id, seq,
     label and vec. Texts are joined to the chosen representatives only.
     """
-    texts = messages.join(labelled.select(*KEY, "label"), KEY)
+    texts = stage(
+        messages.select(*KEY, "created_at", "clean_text").join(
+            labelled.select(*KEY, "label"), KEY
+        ),
+        "clustered",
+    )
     nearest = representatives(labelled, settings.representatives)
     shown = (
-        messages.select(*KEY, "clean_text")
+        texts.select(*KEY, "clean_text")
         .join(nearest, KEY)
         .groupBy(*CLUSTER)
         .agg(
