@@ -13,6 +13,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def truthy(value: Column) -> Column:
-    """False for null and for the JSON spellings of an empty value."""
-    return ~F.coalesce(value, F.lit("")).isin("", "[]", "{}", "false", "0", "null")
+# How an empty value is spelled in JSON.
+EMPTY_JSON = ("", "[]", "{}", "false", "0", "null")
+
+
+def falsy(value: Column) -> Column:
+    """True for null and for the JSON spellings of an empty value."""
+    return value.isNull() | value.isin(*EMPTY_JSON)

@@ -48,7 +48,7 @@ def cluster_payloads(
         ),
         "clustered",
     )
-    nearest = representatives(labelled, settings.representatives)
+    nearest = stage(representatives(labelled, settings.representatives), "nearest")
     shown = (
         texts.select(*KEY, "clean_text")
         .join(nearest, KEY)
@@ -83,8 +83,12 @@ def sampled_examples(
     valid: DataFrame, scored: DataFrame, settings: Settings = Settings()
 ) -> DataFrame:
     """The sampled detections with snippet and details, texts fetched for the samples only."""
-    top = most_suspicious(scored, settings.samples_per_category).select(
-        *CATEGORY, "seq", "det_pos", "sample_rank", "score"
+    # written down so that its size is known: the few samples are broadcast to the texts
+    top = stage(
+        most_suspicious(scored, settings.samples_per_category).select(
+            *CATEGORY, "seq", "det_pos", "sample_rank", "score"
+        ),
+        "samples",
     )
     text = F.coalesce(F.col("input_text"), F.lit(""))
     picked = valid.join(top, KEY).withColumn("det", F.get("response_jsonl", F.col("det_pos")))
