@@ -256,6 +256,36 @@ marked AS (
 islands AS (
   SELECT *, sum(starts) OVER (PARTITION BY seq, det_pos ORDER BY s, e) AS island FROM marked)"""
 
+SNIPPETS = """,
+chunks AS (
+  SELECT m.*, row_number() OVER (PARTITION BY m.seq, det_pos ORDER BY s) AS place,
+    (CASE WHEN s > 0 THEN '…' ELSE '' END) || substr(v.input_text, (s + 1)::INT, (e - s)::INT)
+      || (CASE WHEN e < length(v.input_text) THEN '…' ELSE '' END) AS chunk
+  FROM (SELECT seq, det_pos, island, min(s) AS s, max(e) AS e FROM islands GROUP BY 1, 2, 3) m
+    JOIN valid v ON v.seq = m.seq),
+fold AS (
+  SELECT DISTINCT seq, det_pos, 0::BIGINT AS k, 0::BIGINT AS used, false AS is_full,
+    []::VARCHAR[] AS parts FROM chunks
+  UNION ALL
+  SELECT f.seq, f.det_pos, c.place,
+    CASE WHEN length(chunk) <= 1200 - used THEN used + length(chunk) ELSE used END,
+    length(chunk) > 1200 - used,
+    CASE WHEN length(chunk) <= 1200 - used THEN list_append(parts, chunk)
+      WHEN 1200 - used > 60 THEN list_append(parts, substr(chunk, 1, (1200 - used)::INT) || '…')
+      ELSE parts END
+  FROM fold f JOIN chunks c ON c.seq = f.seq AND c.det_pos = f.det_pos AND c.place = f.k + 1
+  WHERE NOT f.is_full),
+folded AS (
+  SELECT seq, det_pos, array_to_string(arg_max(parts, k), chr(10) || '---' || chr(10)) AS shown
+  FROM fold GROUP BY 1, 2),
+shown AS (
+  SELECT d.seq, d.det_pos, CASE WHEN len(d.ents) > 0 THEN f.shown
+    WHEN length(v.input_text) <= 1200 THEN v.input_text
+    ELSE substr(v.input_text, 1, 585) || chr(10) || '…[middle truncated]…' || chr(10)
+      || substr(v.input_text, length(v.input_text) - 584) END AS shown
+  FROM dets d JOIN valid v ON v.seq = d.seq
+    LEFT JOIN folded f ON f.seq = d.seq AND f.det_pos = d.det_pos)"""
+
 LEDGER = """
 runs AS (
   SELECT event_id::VARCHAR AS run_id, ts - INTERVAL 72 HOUR AS start_ts, ts AS end_ts,
@@ -318,6 +348,12 @@ n AS (SELECT doc_id, term, count(*) AS n, min(pos) AS pos FROM x WHERE length(te
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS place, term FROM n QUALIFY place <= 10""",
     "entity_windows": f"WITH {LOG}{WINDOWS} SELECT seq, det_pos, s, e FROM win",
     "merged_windows": f"WITH {LOG}{WINDOWS}, merged AS (SELECT seq, det_pos, island, min(s) AS s, max(e) AS e FROM islands GROUP BY 1, 2, 3) SELECT seq, det_pos, row_number() OVER (PARTITION BY seq, det_pos ORDER BY s) - 1 AS place, s, e FROM merged",
+    "snippet_texts": f"WITH RECURSIVE {LOG}{WINDOWS}{SNIPPETS} SELECT seq, det_pos, length(shown) AS shown_chars, md5(shown) AS shown_md5 FROM shown",
+    "hashed_embedding": "SELECT doc_id AS seq, 256 AS dimensions, 1.0::DOUBLE AS length FROM documents",
+    "reduced_embedding": "SELECT vec_id AS seq, 8 AS dimensions FROM embeddings",
+    "cluster_payloads": f"WITH d AS (SELECT substr(source, 4) AS cluster_id, nullif({STAMP}, '') AS stamp FROM documents) SELECT cluster_id, count(*) AS message_count, min(stamp) AS date_from, max(stamp) AS date_to, 10 AS n_keywords, least(5, count(*)) AS n_representatives FROM d GROUP BY 1",
+    "judge_attempts": f"WITH {LOG}{PROFILE} SELECT tenant_id, category, least(3, 1 + length(category) % 4) AS attempts, length(category) % 4 <= 2 AS judged FROM profile",
+    "audit_trail": f"WITH {LOG}{PROFILE} SELECT 'fp_category' AS event, tenant_id, category, dominant_detection_type AS dominant_type, total_detections, least(8, total_detections) AS samples_shown, round_even(mean_prior, 3) AS mean_fp_prior FROM profile",
     "category_payloads": f"""WITH {LOG}{PROFILE} SELECT p.tenant_id, p.category, p.dominant_detection_type, p.total_detections, least(8, p.total_detections) AS samples_shown, s.sample_rank - 1 AS place, s.score, length(v.input_text) > 1200 AS truncated, s.seq || ':' || s.name AS id, s.raw AS detection_type, s.n_entities, s.n_distinct_entities AS n_subtypes
 FROM profile p JOIN sample s ON s.tenant_id = p.tenant_id AND s.category = p.category JOIN valid v ON v.seq = s.seq""",
     "verdict_tallies": f"WITH {LOG}{RESULTS} SELECT tenant_id, category, n_fp AS estimated_fp_count_in_sample, n_tp AS estimated_tp_count_in_sample, n_unc AS n_uncertain, round(rate, 6) AS estimated_fp_rate, round(decided, 6) AS fp_rate_confidence, verdict AS overall_assessment, total_detections AS total_detections_in_period, fp_total AS estimated_fp_count_total, tp_total AS estimated_tp_count_total FROM ranked",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from logveil.operators import (
     payloads,
 )
 from logveil.plans import explorer, false_positives, intent, reports
+from logveil.schema import CATEGORY_VERDICT
 from logveil.scratch import shared_folder, spread, stage
 from logveil.sources import ledger, readers, writers
 from logveil.streaming.ingest import ingest
@@ -399,6 +401,44 @@ def quota_refill(spark, sf_dir):
     )
 
 
+def _late_judge(batches):
+    """Needs one attempt more for every letter of the category, modulo four."""
+    for batch in batches:
+        replies = [
+            "{}" if attempt > len(category) % 4 else "not yet"
+            for category, attempt in zip(batch["category"], batch["attempt"])
+        ]
+        yield batch[["tenant_id", "category"]].assign(reply=replies, finish_reason="stop")
+
+
+def judge_attempts(spark, sf_dir):
+    """Attempts it takes until each category has a readable verdict."""
+    asked = payloads.category_payloads(derived.valid_log(spark, sf_dir)).select(
+        *detections.CATEGORY, judging.request_text("{payload}", F.struct("examples")).alias("request")
+    )
+    keys = detections.CATEGORY
+    _, log = judge.ask(stage(asked, "requests"), keys, _late_judge, CATEGORY_VERDICT, 3500)
+    return log.groupBy(*keys).agg(
+        F.max("attempt").alias("attempts"), F.bool_or(c("outcome") == "ok").alias("judged")
+    )
+
+
+def audit_trail(spark, sf_dir):
+    """Audit events of the category payloads, appended to the trail and read back."""
+    built = payloads.category_payloads(derived.valid_log(spark, sf_dir))
+    path = f"{shared_folder(spark)}/logveil/audit_{uuid4().hex}"
+    writers.append_audit(writers.fp_category(built, FIXED_RUN), path)
+    return spark.read.json(path).select(
+        "event",
+        "tenant_id",
+        "category",
+        "dominant_type",
+        "total_detections",
+        "samples_shown",
+        "mean_fp_prior",
+    )
+
+
 def action_required(spark, sf_dir):
     return reports.actions(derived.judged_categories(spark, sf_dir)).select(
         "tenant_id",
@@ -599,10 +639,8 @@ def array_log(spark, sf_dir):
             F.lit("]"),
         ).alias("value")
     )
-    path = f"{shared_folder(spark)}/logveil/array_log_{spark.sparkContext.applicationId}_{id(files)}"
-    files.select("value").write.option("maxRecordsPerFile", 1).option("lineSep", "\n").mode(
-        "overwrite"
-    ).text(path)
+    path = f"{shared_folder(spark)}/logveil/array_log_{uuid4().hex}"
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
     back = readers.read_array_log(spark, path)
     return filters.valid_records(back).select(
         "tenant_id",
@@ -614,8 +652,8 @@ def array_log(spark, sf_dir):
 
 def stream_intake(spark, sf_dir):
     """The log landed as JSON lines and taken in by the stream."""
-    path = f"{shared_folder(spark)}/logveil/intake_{spark.sparkContext.applicationId}_{id(object())}"
-    landed_log(spark, sf_dir).drop("event_ts").write.mode("overwrite").json(f"{path}/landing")
+    path = f"{shared_folder(spark)}/logveil/intake_{uuid4().hex}"
+    landed_log(spark, sf_dir).drop("event_ts").write.json(f"{path}/landing")
     ingest(spark, f"{path}/landing", f"{path}/log", f"{path}/state").awaitTermination()
     back = readers.read_table_log(spark, f"{path}/log")
     return back.groupBy("tenant_id", c("event_date").cast("string").alias("event_date")).agg(
@@ -627,7 +665,7 @@ def report_roundtrip(spark, sf_dir):
     """The false-positive report written as documents and read back."""
     results = derived.judged_categories(spark, sf_dir)
     report = reports.fp_report(landed_log(spark, sf_dir), stage(results, "results"))
-    folder = f"{shared_folder(spark)}/logveil/report_{spark.sparkContext.applicationId}_{id(report)}"
+    folder = f"{shared_folder(spark)}/logveil/report_{uuid4().hex}"
     path = writers.write_report(
         report.summary, {"action_required": report.actions}, folder, "fp", FIXED_RUN
     )
@@ -698,7 +736,7 @@ QUERIES = {
         unit_vectors, eps_edges, dbscan_labels, cluster_sizes, cluster_summary, centroids,
         representatives, cluster_dates, hashed_embedding, reduced_embedding, cluster_keywords,
         keyword_weights, single_doc_words, entity_windows, merged_windows, snippet_texts,
-        category_payloads, cluster_payloads, verdict_tallies, quota_refill, action_required,
+        category_payloads, cluster_payloads, verdict_tallies, judge_attempts, audit_trail, quota_refill, action_required,
         fp_summary, suggestions, sensitive_rate, cluster_order, cluster_conformance,
         category_conformance, explorer_overview, explorer_value_counts, explorer_suggestions,
         explorer_cards, explorer_clusters, explorer_scatter, explorer_actions, explorer_drilldown,

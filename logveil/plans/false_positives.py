@@ -14,6 +14,7 @@ from logveil.operators.detections import CATEGORY
 from logveil.operators.filters import valid_records
 from logveil.operators.judge import ask, ask_with_quota, stored_category_results, with_payload
 from logveil.operators.payloads import category_payloads, sampled_examples, scored_detections
+from logveil.plans.audit import Audit
 from logveil.plans.reports import FalsePositiveReport, fp_report, message_counts
 from logveil.schema import CATEGORY_VERDICT
 from logveil.scratch import stage
@@ -27,7 +28,11 @@ def ranked_payloads(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("rank", F.row_number().over(order))
 
 
-def judge_categories(template: str, judge, settings: Settings = Settings()) -> Results:
+def judge_categories(
+    template: str, judge, settings: Settings = Settings(), audit: Audit | None = None
+) -> Results:
+    """A function from payload rows to result rows with `ok`, asking the given judge."""
+
     def run(payloads: DataFrame) -> DataFrame:
         shown = F.struct(
             "detection_category",
@@ -46,7 +51,7 @@ def judge_categories(template: str, judge, settings: Settings = Settings()) -> R
                 det_type=F.col("dominant_detection_type"),
             ),
         )
-        verdicts, _ = ask(
+        verdicts, attempts = ask(
             requests,
             CATEGORY,
             judge,
@@ -54,6 +59,8 @@ def judge_categories(template: str, judge, settings: Settings = Settings()) -> R
             settings.fp_token_budget,
             settings.judge_attempts,
         )
+        if audit:
+            audit.judge_calls(attempts)
         found = with_payload(verdicts.select(*CATEGORY, "verdict.*"), payloads)
         return (
             payloads.select(*CATEGORY, "rank")

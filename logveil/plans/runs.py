@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from logveil.config import Settings
+from logveil.plans.audit import Audit
 from logveil.plans.false_positives import FalsePositiveRun, run_false_positives
 from logveil.plans.intent import IntentRun, run_intent
 from logveil.scratch import stage
@@ -63,15 +64,25 @@ def run_both(
     max_clusters: int | None = None,
     max_categories: int | None = None,
     settings: Settings = Settings(),
+    audit: Audit | None = None,
     **intent_options,
 ) -> BothRuns:
     """Both analyses over one read; when the first fails the second still runs."""
-    intent, problem = None, None
+    spark, intent, problem = records.sparkSession, None, None
+    if audit:
+        audit.run_start(spark, "intent")
     try:
         intent = run_intent(records, intent_judge, max_clusters, settings, **intent_options)
+        if audit:
+            audit.clusters(intent.payloads, intent.labels, settings.clustering)
     except Exception as error:  # noqa: BLE001 - reported to the caller
         log.error("intent analysis failed: %s", error)
         problem = str(error)
-    return BothRuns(
-        intent, problem, run_false_positives(records, fp_judge, max_categories, settings)
-    )
+    if audit:
+        audit.run_end(spark, "intent", "failed" if problem else "ok")
+        audit.run_start(spark, "fp")
+    fp = run_false_positives(records, fp_judge, max_categories, settings)
+    if audit:
+        audit.categories(fp.payloads)
+        audit.run_end(spark, "fp", "ok")
+    return BothRuns(intent, problem, fp)

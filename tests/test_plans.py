@@ -2,6 +2,7 @@
 
 import json
 import sys
+from datetime import datetime
 
 import pandas as pd
 import pytest
@@ -12,6 +13,7 @@ from logveil.config import Settings
 from logveil.given.records import landed_log, verdicts
 from logveil.operators.filters import valid_records
 from logveil.plans import false_positives, intent, runs
+from logveil.plans.audit import Audit
 from logveil.sources import writers
 from logveil.sources.readers import window_bounds
 from logveil.operators import embedding
@@ -50,13 +52,18 @@ def log(spark, small):
 
 def test_both_analyses(spark, log, tmp_path):
     settings = Settings(eps=0.6)
+    trail = Audit(str(tmp_path / "audit"), datetime(2024, 1, 1))
     both = runs.run_both(
         log,
-        intent.judge_clusters("{payload}", sensitive_judge, settings),
-        false_positives.judge_categories("{category} {det_type} {payload}", fp_judge, settings),
+        intent.judge_clusters("{payload}", sensitive_judge, settings, trail),
+        false_positives.judge_categories("{category} {det_type} {payload}", fp_judge, settings, trail),
         max_clusters=2,
         settings=settings,
+        audit=trail,
     )
+    events = {r["event"]: r["count"] for r in spark.read.json(trail.path).groupBy("event").count().collect()}
+    assert set(events) == {"run_start", "run_end", "llm_call", "cluster_built", "cluster_summary", "fp_category"}
+    assert events["cluster_built"] == both.intent.payloads.count()
     report = both.intent.report
     counts = report.results.groupBy("tenant_id").count().collect()
     assert both.intent_error is None and counts and all(r["count"] <= 2 for r in counts)
