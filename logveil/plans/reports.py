@@ -20,7 +20,6 @@ from logveil.operators.ranks import assessment_ordinal
 
 
 
-
 @dataclass(frozen=True)
 class IntentReport:
     summary: DataFrame
