@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm import decontamination, line_dedup, simhash_dedup, substring_dedup
+from logveil.llm import (
+    bpe,
+    decontamination,
+    line_dedup,
+    quality,
+    simhash_dedup,
+    substring_dedup,
+    token_counts,
+)
+from logveil.llm.pretokens import Vocabulary
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _vocabulary() -> Vocabulary:
+    return Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, folder, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -23,6 +37,11 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.count_tokens(_table(spark, folder, "documents"), _vocabulary())
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.remove_repeated_lines(_table(spark, folder, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -31,6 +50,22 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return quality.verdicts(documents, quality.fit(documents, _table(spark, folder, "labels")))
+
+
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = _vocabulary()
+    tokens = bpe.decode(bpe.encode(_table(spark, folder, "documents"), vocabulary), vocabulary)
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_benchmark(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -47,7 +82,15 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_simhash_dedup, op3_substring_dedup, op5_line_dedup, op10_decontamination)
+    for f in (
+        op2_simhash_dedup,
+        op3_substring_dedup,
+        op4_token_counts,
+        op5_line_dedup,
+        op7_quality_rules,
+        op9_bpe,
+        op10_decontamination,
+    )
 }
 
 _OP5 = r"""
