@@ -10,6 +10,7 @@ from logveil.llm import (
     bpe,
     chat_format,
     decontamination,
+    html_text,
     language_id,
     line_dedup,
     quality,
@@ -28,6 +29,11 @@ def _vocabulary() -> Vocabulary:
     return Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.main_text(_table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, folder, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -105,6 +111,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_html_text,
         op2_simhash_dedup,
         op3_substring_dedup,
         op4_token_counts,
