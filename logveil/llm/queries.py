@@ -25,7 +25,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _vocabulary() -> Vocabulary:
+def vocabulary() -> Vocabulary:
     return Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -46,7 +46,7 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counts = token_counts.count_tokens(_table(spark, folder, "documents"), _vocabulary())
+    counts = token_counts.count_tokens(_table(spark, folder, "documents"), vocabulary())
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
@@ -84,7 +84,7 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = _vocabulary()
+    vocabulary = vocabulary()
     tokens = bpe.decode(bpe.encode(_table(spark, folder, "documents"), vocabulary), vocabulary)
     return tokens.select(
         "doc_id",
