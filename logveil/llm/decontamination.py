@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logveil.llm.words import MARKS, covered, mix, words
 
@@ -140,17 +141,13 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str |
     yield block
 
 
-_OUT = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("text", pa.string()),
-        ("n_words", pa.int64()),
-        ("n_hit", pa.int64()),
-        ("hit", pa.binary()),
-        ("items", pa.list_(pa.string())),
-    ]
+_FOUND = (
+    T.StructType()
+    .add("n_words", T.LongType())
+    .add("n_hit", T.LongType())
+    .add("hit", T.BinaryType())
+    .add("items", T.ArrayType(T.StringType()))
 )
-_DDL = "doc_id bigint, text string, n_words bigint, n_hit bigint, hit binary, items array<string>"
 
 
 def _scanner(table):
@@ -179,26 +176,37 @@ def _scanner(table):
                 rows = slice(w.first, w.first + len(w))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"][rows],
+                        batch["row"][rows],
                         batch["text"][rows],
                         pa.array(w.counts, pa.int64()),
                         pa.array(n_hit, pa.int64()),
                         pa.array(hits, pa.binary()),
                         pa.array([sorted(s) for s in items], pa.list_(pa.string())),
                     ],
-                    schema=_OUT,
+                    ["row", "text", *_FOUND.names],
                 )
 
     return scan
 
 
-def find_benchmark(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, items): items is the sorted array of item_ids that occur."""
+def find_benchmark(documents: DataFrame, benchmark: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, items): items is the sorted array of item_ids that occur.
+
+    With `whole_rows`, a struct `row` of all columns stands in place of doc_id.
+    """
     sc = documents.sparkSession.sparkContext
-    found = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = F.struct(*documents.columns) if whole_rows else F.struct(F.col("doc_id").cast("long").alias("doc_id"))
+    found = documents.select(own.alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*found.schema, *_FOUND])
     for block in _item_blocks(benchmark):
-        found = found.mapInArrow(_scanner(sc.broadcast(patterns(block))), _DDL)
-    return found.select("doc_id", "n_words", "n_hit", "items")
+        found = found.mapInArrow(_scanner(sc.broadcast(patterns(block))), schema)
+    return found.select("row" if whole_rows else "row.doc_id", "n_words", "n_hit", "items")
+
+
+def retained(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, in place."""
+    found = find_benchmark(documents, benchmark, whole_rows=True)
+    return found.where(~contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
 
 
 def contaminated(n_hit, n_words):

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logveil.llm.words import BLANKS, Words, _hashes, covered, mix, per_text, windows, words
 
@@ -243,7 +244,7 @@ def figures(w: Words, found: Lines) -> dict[str, np.ndarray]:
     }
 
 
-def _judge(field: Field):
+def _judge(field: Field, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch["text"]):
@@ -254,23 +255,36 @@ def _judge(field: Field):
                 row = figures(w, found)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"][w.first : w.first + len(w)],
+                        *(batch[c][w.first : w.first + len(w)] for c in keep),
                         *(pa.array(row[c].astype(np.int64)) for c in _FIGURES),
                         pa.array(share),
                     ],
-                    ["doc_id", *_FIGURES, "content_share"],
+                    [*keep, *_FIGURES, "content_share"],
                 )
 
     return run
 
 
-def verdicts(documents: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, the figures, content_share, base_failed, kept) per document."""
-    ddl = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in _FIGURES) + ", content_share double"
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def verdicts(documents: DataFrame, field: Field, whole_rows: bool = False) -> DataFrame:
+    """(doc_id, the figures, content_share, base_failed, kept) per document.
+
+    With `whole_rows`, a struct `row` of all columns stands in place of doc_id.
+    """
+    text = F.col("text").cast("string").alias("text")
+    own = F.struct(*documents.columns).alias("row") if whole_rows else F.col("doc_id").cast("long").alias("doc_id")
+    rows = documents.select(own, text)
+    schema = T.StructType([rows.schema[0]])
+    for c in _FIGURES:
+        schema = schema.add(c, T.LongType())
+    schema = schema.add("content_share", T.DoubleType())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        rows.mapInArrow(_judge(field), ddl)
+        rows.mapInArrow(_judge(field, rows.columns[:1]), schema)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("content_share") >= SHARE))
     )
+
+
+def retained(documents: DataFrame, field: Field) -> DataFrame:
+    """The documents that are kept, in place: no join brings the verdict back."""
+    return verdicts(documents, field, whole_rows=True).where("kept").select("row.*")

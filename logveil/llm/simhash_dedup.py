@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logveil.llm.words import BLANKS, Words, words
@@ -252,3 +252,18 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = RADIUS
         "components",
     )
     return made.join(component, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(documents: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The documents with the smallest doc_id of their component; equal rows of one id count once."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    found = near_duplicates(documents, shingle, radius)
+    lowest = found.where(key == F.col("component_id")).select(key.alias("__key")).distinct()
+    same = Window.partitionBy("__key", F.xxhash64("text")).orderBy("__key")
+    return (
+        documents.withColumn("__key", key)
+        .join(lowest, "__key", "left_semi")
+        .withColumn("__copy", F.row_number().over(same))
+        .where("__copy = 1")
+        .select(*documents.columns)
+    )
