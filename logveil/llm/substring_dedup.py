@@ -22,7 +22,9 @@ Exact copies of a text are found first by a grouping on its hash: of each group
 with the smallest id are counted, as all windows of the others start earlier.
 
 No sketch and no list reaches the driver, and none is broadcast, so nothing is bounded by one
-machine but a block and a shard; there are `spark.sql.shuffle.partitions` of each, or twice that.
+machine but a block and a shard. Both follow the bytes of the input (`BLOCK` and `SHARD` each), not the
+number of partitions; a block sends a row per shard in which it uses a cell, so there are
+never more rows than cells.
 
 Defined cases: a null text has no words; documents under `size` words keep all; an empty table gives
 an empty result; rows that share a doc_id count as one document laid over itself (equal rows do
@@ -44,6 +46,7 @@ from logveil.llm.words import Words, covered, mix, per_text, windows, words
 
 SIZE, ANCHOR = 20, 8
 DEPTH, WIDTH = 2, 1 << 40
+BLOCK, SHARD = 4 << 20, 32 << 20  # bytes of text
 SEEDS = tuple(np.uint64(s * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for s in range(1, DEPTH + 1))
 
 
@@ -247,10 +250,11 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR)
     """(doc_id, n_words, n_removed, kept_text) per row of (doc_id, text)."""
     if size != SIZE or not 0 < anchor <= size:
         raise ValueError("anchors are searched in windows of 20 words")
-    spark = documents.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    size_of_all = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    blocks, shards = max(2 * cores, -(-size_of_all // BLOCK)), -(-size_of_all // SHARD) or 1
     lowest = F.lit(-(1 << 63)).cast("long")
-    deal = lambda key: F.pmod(F.xxhash64(key), F.lit(2 * shards)).cast("int")
+    deal = lambda key: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), lowest).alias("key"),
