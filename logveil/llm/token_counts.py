@@ -28,12 +28,17 @@ from pyspark.sql import functions as F
 
 from logveil.llm.pretokens import Vocabulary, folded, per_worker, with_pieces
 
-FREQUENT, SUMMARY, CACHE = 20_000, 4_000, 1 << 20
+FREQUENT, SUMMARY, CACHE, CHUNK = 20_000, 4_000, 1 << 18, 4096
 
 
 def _lengths(pieces: list[str], vocabulary: Vocabulary) -> list[int]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
-    return [len(e.ids) for e in vocabulary.library().encode_batch_fast(pieces, add_special_tokens=False)]
+    encode = vocabulary.library().encode_batch_fast
+    return [
+        len(e.ids)
+        for a in range(0, len(pieces), CHUNK)  # encodings are large
+        for e in encode(pieces[a : a + CHUNK], add_special_tokens=False)
+    ]
 
 
 def _summaries(vocabulary: Vocabulary, known):
