@@ -7,7 +7,7 @@ ranks. A merged symbol only takes part in merges of higher rank (its own merge c
 the vocabulary was learned), so ascending order gives each piece what merging it alone
 would. Pairs that a merge has broken stay in their lists and are passed over.
 
-Documents are never shuffled. Memory follows one Arrow batch of whole texts.
+Documents are never shuffled. Memory follows one slice of whole texts.
 
 Defined cases: a null text is empty and has no ids; an empty table gives an empty result; repeated
 rows each get their row; special strings in a text become their id, and ids decode to them. Ids
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logveil.llm.pretokens import Vocabulary, folded, per_worker, with_pieces
+from logveil.llm.pretokens import Vocabulary, folded, per_worker, slices, with_pieces
 
 
 def _printed_bytes() -> dict[str, int]:
@@ -155,7 +155,7 @@ def gather(values: np.ndarray, cut: np.ndarray, rows: np.ndarray) -> tuple[np.nd
 def _encoder(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "pieces")):
             distinct, places, cut = folded(batch, vocabulary)
             ids, begin = encode_pieces(distinct, m)
             flat, at = gather(ids, begin, places)
@@ -174,7 +174,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def _decoder(vocabulary: Vocabulary, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = merges(vocabulary).spelled
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "ids")):
             lists = batch["ids"]
             flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
             texts, at = [], 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -82,6 +82,16 @@ def with_pieces(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
 
 
+def slices(batch: pa.RecordBatch, lists: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows with about `most` list elements; a longer row is one of its own."""
+    n = pc.list_value_length(batch[lists]).fill_null(0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(n, dtype=np.int64) - 1) // most
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+    for a, b in zip(cut, cut[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _split_by_library(text: str, vocabulary: Vocabulary) -> list[str]:
     cut = vocabulary.library().pre_tokenizer.pre_tokenize_str
     parts = [text]

@@ -84,8 +84,8 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = vocabulary()
-    tokens = bpe.decode(bpe.encode(_table(spark, folder, "documents"), vocabulary), vocabulary)
+    words = vocabulary()
+    tokens = bpe.decode(bpe.encode(_table(spark, folder, "documents"), words), words)
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

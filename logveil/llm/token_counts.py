@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logveil.llm.pretokens import Vocabulary, folded, per_worker, with_pieces
+from logveil.llm.pretokens import Vocabulary, folded, per_worker, slices, with_pieces
 
 FREQUENT, SUMMARY, CACHE, CHUNK = 20_000, 4_000, 1 << 18, 4096
 
@@ -44,7 +44,7 @@ def _lengths(pieces: list[str], vocabulary: Vocabulary) -> list[int]:
 def _summaries(vocabulary: Vocabulary, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: Counter[str] = Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "pieces")):
             distinct, places, _ = folded(batch, vocabulary)
             count = np.bincount(places, minlength=len(distinct)).tolist()
             for piece, n in zip(distinct, count):
@@ -83,7 +83,7 @@ def _counter(vocabulary: Vocabulary, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = table.value
         cache: dict[str, int] = per_worker(f"lengths {hash(vocabulary.definition)}", dict)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "pieces")):
             distinct, places, cut = folded(batch, vocabulary)
             missing = [p for p in distinct if p not in frequent and p not in cache]
             found = dict(zip(missing, _lengths(missing, vocabulary)))
