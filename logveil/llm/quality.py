@@ -69,8 +69,9 @@ def lines(w: Words) -> Lines:
     breaks = np.flatnonzero(data == 0x0A)
     starts = np.unique(np.concatenate([w.text_at[:-1], breaks + 1]))
     starts = starts[starts < len(data)]
-    ends = np.append(starts[1:], len(data))
-    ends = ends - ((ends > starts) & (data[np.maximum(ends - 1, 0)] == 0x0A))
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    if len(starts):
+        ends = ends - ((ends > starts) & (data[ends - 1] == 0x0A))
     n_words = np.searchsorted(w.start, ends) - np.searchsorted(w.start, starts)
     starts, ends, n_words = starts[n_words > 0], ends[n_words > 0], n_words[n_words > 0]
     text = np.searchsorted(w.text_at, starts, "right") - 1
