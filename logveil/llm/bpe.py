@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logveil.llm.pretokens import Vocabulary, folded, per_worker, slices, with_pieces
+from logveil.llm.words import released
 
 
 def _printed_bytes() -> dict[str, int]:
@@ -168,7 +169,7 @@ def _encoder(vocabulary: Vocabulary):
 def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids array<int>) per document."""
     pieces = with_pieces(documents, vocabulary)
-    return pieces.mapInArrow(_encoder(vocabulary), "doc_id bigint, ids array<int>")
+    return pieces.mapInArrow(released(_encoder(vocabulary)), "doc_id bigint, ids array<int>")
 
 
 def _decoder(vocabulary: Vocabulary, keep: list[str]):

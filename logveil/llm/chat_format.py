@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logveil.llm.words import released
+
 # Control strings of public chat templates.
 _CONTROL = r"(?=\||/?s>|/?INST\]|</?SYS>>)"
 _ESCAPE = re.compile(r"([<\[])(\\*)" + _CONTROL)
@@ -136,7 +138,7 @@ def format_events(events: DataFrame, order: list[str]) -> DataFrame:
     return (
         rows.repartition("conv_id", "message")
         .sortWithinPartitions("conv_id", "message", *order)
-        .mapInArrow(_fold(order, schema), f"{ddl}, piece string, loss array<struct<begin: bigint, end: bigint>>")
+        .mapInArrow(released(_fold(order, schema)), f"{ddl}, piece string, loss array<struct<begin: bigint, end: bigint>>")
     )
 
 
@@ -187,7 +189,7 @@ def read_back(pieces: DataFrame, order: list[str]) -> DataFrame:
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", *order, "message")
         .mapInArrow(
-            _read,
+            released(_read),
             "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
             "formatted_chars bigint",
         )

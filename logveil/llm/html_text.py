@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logveil.llm.words import covered, words
+from logveil.llm.words import covered, words, released
 from logveil.scratch import stage
 
 RUN, SHARD = 8, 4 << 20
@@ -235,5 +235,5 @@ def main_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
         .select("host", "shard", "page_id", "url", "html")
         .repartition("host", "shard")
         .sortWithinPartitions("host", "shard")
-        .mapInArrow(_extract, "page_id bigint, url string, text string")
+        .mapInArrow(released(_extract), "page_id bigint, url string, text string")
     )

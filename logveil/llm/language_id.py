@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logveil.llm.words import buffers
+from logveil.llm.words import buffers, released
 
 SAMPLE, SPAN, STRETCH, UNITS = 250, 384, 96, 8
 BATCH, EPOCHS, RATE = 256, 6, 0.03
@@ -263,4 +263,4 @@ def predict(documents: DataFrame, net: Network | None) -> DataFrame:
     if net is None:
         return documents.select(doc_id, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     rows = documents.select(doc_id, F.when(text.rlike(r"\p{L}"), text).alias("text"))
-    return rows.mapInArrow(_predictor(net), "doc_id bigint, lang_pred string, score double")
+    return rows.mapInArrow(released(_predictor(net)), "doc_id bigint, lang_pred string, score double")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logveil.llm.words import BLANKS, Words, _hashes, covered, mix, per_text, windows, words
+from logveil.llm.words import BLANKS, Words, _hashes, covered, mix, per_text, windows, words, released
 
 SAMPLE, LINES, SHARE, ROUNDS = 400, 40, 0.25, 80
 SYMBOLS = np.zeros(256, bool)
@@ -280,7 +280,7 @@ def verdicts(documents: DataFrame, field: Field, whole_rows: bool = False) -> Da
     schema = schema.add("content_share", T.DoubleType())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        rows.mapInArrow(_judge(field, rows.columns[:1]), schema)
+        rows.mapInArrow(released(_judge(field, rows.columns[:1])), schema)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("content_share") >= SHARE))
     )

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logveil.llm.words import BLANKS, Words, words
+from logveil.llm.words import BLANKS, Words, words, released
 from logveil.operators.components import connected_components
 from logveil.scratch import stage
 
@@ -88,7 +88,7 @@ def _fingerprinter(shingle: int):
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the 64 bits as a signed long."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprinter(shingle), "doc_id bigint, fp bigint")
+    return rows.mapInArrow(released(_fingerprinter(shingle)), "doc_id bigint, fp bigint")
 
 
 # ------------------------------------------------------------------ trees
@@ -235,7 +235,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return (
         met.repartition(*_SHARD_KEY)
         .sortWithinPartitions(*_SHARD_KEY)
-        .mapInArrow(_linker(radius), "a bigint, b bigint")
+        .mapInArrow(released(_linker(radius)), "a bigint, b bigint")
         .distinct()
     )
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logveil.llm.pretokens import Vocabulary, folded, per_worker, slices, with_pieces
+from logveil.llm.words import released
 
 FREQUENT, SUMMARY, CACHE, CHUNK = 20_000, 4_000, 1 << 18, 4096
 
@@ -68,7 +69,7 @@ def frequent_lengths(pieces: DataFrame, vocabulary: Vocabulary) -> dict[str, int
     table = {p: n for p, n in zip(whole, _lengths(whole, vocabulary)) if n == 1}
     known = pieces.sparkSession.sparkContext.broadcast(frozenset(table))
     rows = (
-        pieces.mapInArrow(_summaries(vocabulary, known), "piece string, n bigint")
+        pieces.mapInArrow(released(_summaries(vocabulary, known)), "piece string, n bigint")
         .groupBy("piece")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "piece")
@@ -107,4 +108,4 @@ def count_tokens(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) per document."""
     pieces = with_pieces(documents, vocabulary)
     table = documents.sparkSession.sparkContext.broadcast(frequent_lengths(pieces, vocabulary))
-    return pieces.mapInArrow(_counter(vocabulary, table), "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    return pieces.mapInArrow(released(_counter(vocabulary, table)), "doc_id bigint, n_bytes bigint, n_tokens bigint")
