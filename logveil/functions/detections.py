@@ -18,7 +18,7 @@ SHORT_TEXT_TOKENS, REPEAT_ABOVE, REPEAT_DISTINCT = 20, 3, 2
 
 
 def detector_kind(raw: Column) -> Column:
-    kind = F.trim(F.lower(F.coalesce(raw, F.lit(""))))
+    kind = F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), r"(?U)^\s+|\s+$", "")
     return (
         F.when(kind == "pattern", F.lit("pattern"))
         .when(kind.isin(*CONTEXTUAL_SPELLINGS), F.lit("contextual"))

@@ -80,11 +80,15 @@ def was_truncated(text: Column, limit: int = 1200) -> Column:
     return F.length(F.coalesce(text, F.lit(""))) > limit
 
 
+def decimals(value: Column, places: int) -> Column:
+    """A number with fixed decimals; exact ties go to the even digit."""
+    return F.regexp_replace(F.format_number(value, places), ",", "")
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Share with one decimal; a dash when there is nothing to divide by."""
-    return F.when(whole == 0, F.lit(MISSING)).otherwise(
-        F.format_string("%.1f%%", (part / F.nullif(whole, F.lit(0))) * F.lit(100.0))
-    )
+    share = (part / F.nullif(whole, F.lit(0))) * F.lit(100.0)
+    return F.when(whole == 0, F.lit(MISSING)).otherwise(F.concat(decimals(share, 1), F.lit("%")))
 
 
 def matches_any(needle: str, *texts: Column, words: Column | None = None) -> Column:

@@ -47,6 +47,7 @@ def ask(
             "token_budget", F.lit(int(token_budget * step))
         )
         found = json_in_text(F.col("reply"))
+        usable = F.col("verdict").isNotNull() & F.ltrim("found").startswith("{")
         answered = stage(
             sent.mapInPandas(judge, reply_schema)
             .withColumn("found", found)
@@ -54,9 +55,9 @@ def ask(
             .withColumn("attempt", F.lit(attempt))
             .withColumn(
                 "outcome",
-                F.when(F.col("verdict").isNotNull() & F.col("found").isNotNull(), F.lit("ok"))
-                .when(F.coalesce(F.length("reply"), F.lit(0)) == 0, F.lit("empty_response"))
+                F.when(usable, F.lit("ok"))
                 .when(F.col("finish_reason") == "error", F.lit("error"))
+                .when(F.coalesce(F.length("reply"), F.lit(0)) == 0, F.lit("empty_response"))
                 .when(F.col("finish_reason") == "length", F.lit("truncated_no_json"))
                 .otherwise(F.lit("no_json_in_response")),
             ),
@@ -89,23 +90,25 @@ def ask_with_quota(
     """
     if not quota:
         return stage(run(ranked), "judged")
-    judged = []
-    wave = ranked.where(F.col("rank") <= quota)
+    judged, sent = [], []
+    wave = stage(ranked.where(F.col("rank") <= quota), "wave")
     while not wave.isEmpty():
         judged.append(stage(run(wave), "judged"))
+        sent.append(wave.select("tenant_id", "rank", F.lit(False).alias("ok")))  # also what got no row
         so_far = (
-            reduce(DataFrame.unionByName, judged)
+            reduce(DataFrame.unionByName, [*sent, *(j.select("tenant_id", "rank", "ok") for j in judged)])
             .groupBy("tenant_id")
             .agg(F.count_if("ok").alias("got"), F.max("rank").alias("upto"))
             .where(F.col("got") < quota)
         )
-        wave = (
+        wave = stage(
             ranked.join(so_far, "tenant_id")
             .where(
                 (F.col("rank") > F.col("upto"))
                 & (F.col("rank") <= F.col("upto") + quota - F.col("got"))
             )
-            .select(*ranked.columns)
+            .select(*ranked.columns),
+            "wave",
         )
     return reduce(DataFrame.unionByName, judged) if judged else run(ranked)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logveil.functions.text import MISSING, display_cut, percent
+from logveil.functions.text import MISSING, decimals, display_cut, percent
 from logveil.operators.filters import filter_actions, filter_suggestions
 from logveil.operators.ranks import assessment_ordinal, risk_ordinal
 
@@ -171,7 +171,7 @@ def category_table(results: DataFrame) -> DataFrame:
         F.coalesce("estimated_tp_count_in_sample", F.lit(0)).alias("sample_tp"),
         F.coalesce("estimated_fp_count_in_sample", F.lit(0)).alias("sample_fp"),
         shown(F.col("tuning_recommendation")).alias("tuning"),
-        F.format_string("%.2f", F.coalesce("mean_heuristic_fp_prior", F.lit(0.0))).alias("prior"),
+        decimals(F.coalesce("mean_heuristic_fp_prior", F.lit(0.0)), 2).alias("prior"),
         shown(F.col("dominant_detection_type")).alias("detection_type"),
         assessment_ordinal(F.col("overall_assessment")).alias("place"),
         *[f(F.col(c)).alias(c) for c, f in optional.items() if c in results.columns],

@@ -148,9 +148,14 @@ def window_bounds(
 
 
 def read_window(log: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Records from `start` to `end`, both included; prunes on `event_date` where there is one."""
+    """Records from `start` to `end`, both included; prunes on `event_date` where there is one.
+
+    The dates are widened by a day each side, as the table may have been written in another time
+    zone than the bounds are given in; `event_ts` decides.
+    """
     if "event_date" in log.columns:
-        log = log.where(F.col("event_date").between(F.lit(start.date()), F.lit(end.date())))
+        day = timedelta(days=1)
+        log = log.where(F.col("event_date").between(F.lit(start.date() - day), F.lit(end.date() + day)))
     return log.where((F.col("event_ts") >= F.lit(start)) & (F.col("event_ts") <= F.lit(end)))
 
 

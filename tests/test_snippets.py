@@ -1,6 +1,7 @@
-"""Windows and snippets against a direct reading of the rules."""
+"""Windows against the mask of characters they cover, snippets by hand and by what must hold."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -15,33 +16,16 @@ def run(spark, rows, width, limit):
     return {r["i"]: ([(w["s"], w["e"]) for w in r["m"]], r["s"]) for r in out.collect()}
 
 
-def model(t, entities, width, limit):
-    spans = []
-    for e in entities or []:
-        needle = (e or "").lower().strip()
-        for i in range(len(t)):
-            if needle and t.lower().startswith(needle, i):
-                spans.append((max(0, i - width), min(len(t), i + len(e) + width)))
-    merged = []
-    for s, e in sorted(spans):
-        if merged and s <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-        else:
-            merged.append((s, e))
-    if not merged:
-        half = limit // 2 - 15
-        return merged, t if len(t) <= limit else t[:half] + "\n…[middle truncated]…\n" + t[-half:]
-    parts, left = [], limit
-    for s, e in merged:
-        chunk = "…" * (s > 0) + t[s:e] + "…" * (e < len(t))
-        if len(chunk) <= left:
-            parts.append(chunk)
-            left -= len(chunk)
-        else:
-            if left > 60:
-                parts.append(chunk[:left] + "…")
-            break
-    return merged, "\n---\n".join(parts)
+def runs_of_covered_characters(t, entities, width):
+    """Each character near a hit is marked; the windows are the runs of marks."""
+    marks = [False] * len(t)
+    for e in filter(None, entities):
+        wanted = re.escape(e.strip().lower())
+        for hit in re.finditer(f"(?={wanted})", t.lower()) if wanted else ():
+            for i in range(hit.start() - width, hit.start() + len(e) + width):
+                if 0 <= i < len(t):
+                    marks[i] = True
+    return [m.span() for m in re.finditer("1+", "".join("01"[m] for m in marks))]
 
 
 def test_by_hand(spark):
@@ -52,13 +36,41 @@ def test_by_hand(spark):
     assert got == {0: ([(0, 4)], "aaaa"), 1: ([], "none")}
 
 
-def test_against_model(spark):
+def random_rows():
     rng = random.Random(3)
-    rows = []
-    for i in range(60):
-        t = "".join(rng.choice("abcé \n") for _ in range(rng.randint(0, 900)))
-        rows.append((i, t, ["".join(rng.choice("abcÉ ") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 3))]))
+    letters = lambda signs, most: "".join(rng.choice(signs) for _ in range(rng.randint(0, most)))
+    return [(i, letters("abcé \n", 900), [letters("abcÉ ", 4) for _ in range(rng.randint(0, 3))]) for i in range(60)]
+
+
+def test_windows_cover_what_is_near_a_hit(spark):
     for width, limit in ((3, 200), (30, 300), (300, 1200)):
-        got = run(spark, rows, width, limit)
-        for i, t, e in rows:
-            assert got[i] == model(t, e, width, limit), (i, width)
+        got = run(spark, random_rows(), width, limit)
+        for i, t, e in random_rows():
+            assert got[i][0] == runs_of_covered_characters(t, e, width), (i, width)
+
+
+def test_snippets_hold_to_budget_and_order(spark):
+    for width, limit in ((3, 200), (30, 300), (300, 1200)):
+        for i, (windows, text) in run(spark, random_rows(), width, limit).items():
+            t = random_rows()[i][1]
+            if not windows:
+                assert text == t if len(t) <= limit else "middle truncated" in text and len(text) < limit + 10
+                continue
+            parts = text.split("\n---\n")
+            assert len(parts) <= len(windows) and sum(map(len, parts)) <= limit + 1  # a cut adds its mark
+            assert parts[0].startswith("…") == (windows[0][0] > 0)
+            for part, (s, e) in zip(parts, windows):
+                inner = part.strip("…")
+                assert t[s:e].startswith(inner)
+                assert inner == t[s:e] or part is parts[-1]
+
+
+def test_snippets_that_do_not_fit(spark):
+    t = "-" * 50 + "xy" + "-" * 100 + "xy" + "-" * 50
+    windows = [(30, 72), (132, 174)]
+    whole = "…" + "-" * 20 + "xy" + "-" * 20 + "…"
+    assert run(spark, [(0, t, ["xy"])], 20, 200)[0] == (windows, f"{whole}\n---\n{whole}")
+    assert run(spark, [(0, t, ["xy"])], 20, 80)[0] == (windows, whole)  # 36 are left: too few to begin another
+    wide = "…" + "-" * 40 + "xy" + "-" * 40 + "…"
+    cut = run(spark, [(0, t, ["xy"])], 40, 150)[0]
+    assert cut == ([(10, 92), (112, 194)], f"{wide}\n---\n{wide[:66]}…")
