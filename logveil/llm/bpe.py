@@ -189,6 +189,13 @@ def _decoder(vocabulary: Vocabulary, keep: list[str]):
     return run
 
 
+def round_trip(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids, decoded): both ways in one task, so ids do not pass through a second worker."""
+    there, back = _encoder(vocabulary), _decoder(vocabulary, ["doc_id", "ids"])
+    ddl = "doc_id bigint, ids array<int>, decoded string"
+    return with_pieces(documents, vocabulary).mapInArrow(released(lambda batches: back(there(batches))), ddl)
+
+
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids) with the decoded text added; null ids decode to an empty text."""
     ddl = "doc_id bigint, ids array<int>, decoded string"

@@ -84,8 +84,7 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    words = vocabulary()
-    tokens = bpe.decode(bpe.encode(_table(spark, folder, "documents"), words), words)
+    tokens = bpe.round_trip(_table(spark, folder, "documents"), vocabulary())
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
