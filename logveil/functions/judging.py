@@ -17,14 +17,24 @@ CONTEXTUAL_TUNINGS = ("disable", "add_allowlist", "reduce_scope", "no_action")
 EVIDENCE_CHARS, EVIDENCE_MIN, EVIDENCE_MAX = 200, 2, 4
 
 
+def is_json(text: Column) -> Column:
+    """Whether `text` is one JSON value; names may repeat in an object, as the last one counts.
+
+    Read inside brackets and inside braces: text that ends the one early breaks the other.
+    """
+    listed = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}"))))
+    return (listed == 1) & (named == 1)
+
+
 def json_in_text(raw: Column) -> Column:
     """The JSON inside free text: outermost braces if they parse, else the text without fences."""
     braces = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
     unfenced = F.regexp_replace(raw, "```(?:json)?", "")
     bare = F.regexp_replace(unfenced, r"^\s+|\s*`*\s*$", "")
     return F.coalesce(
-        F.when(F.try_parse_json(braces).isNotNull(), braces),
-        F.when(F.try_parse_json(bare).isNotNull(), bare),
+        F.when(is_json(braces), braces),
+        F.when(is_json(bare), bare),
     )
 
 

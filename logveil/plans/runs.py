@@ -48,10 +48,16 @@ def window_records(
     lookback_hours: int | None = None,
     tenants: DataFrame | None = None,
     settings: Settings = Settings(),
+    known: DataFrame | None = None,
+    skip_check: bool = False,
 ) -> DataFrame:
-    """Records of a window of the log table, after checking that the tenants exist."""
+    """Records of a window of the log table, after checking that the tenants exist.
+
+    `known` is a table of all tenants; without one the tenants of the whole log are looked up,
+    which scans its `tenant_id`, and a tenant without a message counts as unknown.
+    """
     if tenants is not None:
-        require_tenants(tenants, log_table)
+        require_tenants(tenants, log_table if known is None else known, skip_check)
         log_table = log_table.join(tenants.select("tenant_id").distinct(), "tenant_id", "left_semi")
     bounds = window_bounds(now, start, end, lookback_hours, settings.lookback_hours)
     return read_window(log_table, *bounds)

@@ -79,6 +79,14 @@ def test_json_in_text(spark):
     assert got == ['{"a":1}', '{"a": 2}', None, None, "[1]"]
 
 
+def test_json_with_repeated_names_or_broken_ends(spark):
+    rows = [('x {"a":1,"a":2}',), ('{"a":1} and {"b":2}',), ('{"a":1}, {"b":2}',), ('{"a":1}] b}',), ('{"a":1}} b}',), ("",), (None,)]
+    got = values(spark, judging.json_in_text(F.col("r")), rows, "r string")
+    assert got == ['{"a":1,"a":2}', *[None] * 6]
+    read = F.from_json(judging.json_in_text(F.col("r")), "a int")["a"]
+    assert values(spark, read, rows[:1], "r string") == [2]
+
+
 def test_rates_and_counts(spark):
     rows = [(2, 1), (0, 0)]
     got = values(spark, judging.rate_from_tally(F.col("f"), F.col("t")), rows, "f int, t int")

@@ -122,6 +122,30 @@ def test_embedding_with_a_model_and_reduction(spark):
     assert embedding.reduced_vectors(embedded, 2).select(F.size("vec")).first()[0] == 2
 
 
+def test_hashed_vectors_of_a_tenant_do_not_depend_on_others(spark):
+    texts = ["red fox runs", "red hen runs", "blue owl", ""]
+    alone = spark.createDataFrame(
+        [("a", i, t) for i, t in enumerate(texts)], "tenant_id string, seq bigint, clean_text string"
+    )
+    others = spark.createDataFrame(
+        [("b", 10 + i, "blue owl red") for i in range(9)] + [(None, 30, "hen")], alone.schema
+    )
+    read = lambda df: {r["seq"]: r["vec"] for r in embedding.hashed_vectors(df).collect()}
+    own, among = read(alone), read(alone.unionByName(others))
+    assert len(among) == 14 and {i: among[i] for i in own} == own
+    assert sum(x * x for x in own[0]) == pytest.approx(1.0, abs=1e-5) and not any(own[3])
+
+
+def test_known_tenants_come_from_their_table(spark, log):
+    asked = spark.createDataFrame([("en",), ("silent",)], "tenant_id string")
+    window = dict(now=datetime(2030, 1, 1), start=datetime(2000, 1, 1), tenants=asked)
+    with pytest.raises(ValueError):
+        runs.window_records(log, **window)
+    by_table = runs.window_records(log, **window, known=asked)
+    skipped = runs.window_records(log, **window, skip_check=True)
+    assert by_table.count() == skipped.count() > 0
+
+
 def test_unknown_options():
     with pytest.raises(ValueError):
         Settings(dedup_method="simhash")
