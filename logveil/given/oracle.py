@@ -385,7 +385,7 @@ UNION ALL SELECT tenant_id, coalesce(risk, '—'), count(*), 'risk_level' FROM c
 UNION ALL SELECT tenant_id, place, substr(date_from, 1, 10), substr(date_to, 1, 10), 1, substr(last_text, 1, 120) FROM clusters WHERE sensitive""",
     "explorer_clusters": f"WITH {CLUSTERS} SELECT tenant_id, cluster_id, sensitive, upper(coalesce(risk, '—')) AS risk_level, printf('%.0f%%', round_even(coalesce(conf, 0) * 100.0, 0)) AS confidence, CASE WHEN sensitive THEN source_name ELSE '—' END AS intent_name, CASE WHEN sensitive THEN 'prose ' || tenant_id ELSE '—' END AS category, message_count AS messages, CASE WHEN sensitive THEN source_name || ' detector' ELSE '—' END AS suggested_model FROM clusters",
     "explorer_scatter": f"WITH {LOG}{RESULTS} SELECT tenant_id, category, round(rate, 6) AS fp_rate, total_detections, verdict AS assessment, round(greatest(decided, 0.1), 6) AS confidence FROM ranked",
-    "explorer_actions": f"WITH {LOG}{RESULTS} SELECT tenant_id, rank, category, verdict AS assessment, printf('%.0f%%', round_even(rate * 100.0, 0)) AS fp_rate, printf('%.0f%%', round_even(decided * 100.0, 0)) AS fp_confidence, total_detections, tp_total AS est_tp, fp_total AS est_fp, tuning, dominant_detection_type AS detection_type FROM ranked WHERE ord <= 1 AND contains(lower(category), 'e')",
+    "explorer_actions": f"WITH {LOG}{RESULTS} SELECT tenant_id, rank, category, verdict AS assessment, printf('%.0f%%', round_even(rate * 100.0, 0)) AS fp_rate, printf('%.0f%%', round_even(decided * 100.0, 0)) AS fp_confidence, total_detections, tp_total AS est_tp, fp_total AS est_fp, tuning, dominant_detection_type AS detection_type, CASE WHEN n_unc > 0 THEN 'medium' ELSE '—' END AS risk_of_disabling FROM ranked WHERE ord <= 1 AND contains(lower(category), 'e')",
     "explorer_drilldown": f"WITH {LOG}{RESULTS} SELECT tenant_id, rank, category, verdict AS overall_assessment, n_fp AS estimated_fp_count_in_sample, n_tp AS estimated_tp_count_in_sample, n_unc AS n_uncertain FROM ranked WHERE category = 'License Notice'",
     "explorer_categories": f"WITH {LOG}{RESULTS} SELECT tenant_id, category, verdict AS assessment, printf('%.0f%%', round_even(rate * 100.0, 0)) AS fp_rate, printf('%.0f%%', round_even(decided * 100.0, 0)) AS fp_confidence, total_detections, tp_total AS est_tp, fp_total AS est_fp, n_tp AS sample_tp, n_fp AS sample_fp, tuning, printf('%.2f', shown_prior) AS prior, dominant_detection_type AS detection_type, ord AS place FROM ranked",
     "window_read": f"WITH {LOG} SELECT tenant_id, seq, created_at FROM log WHERE event_ts BETWEEN TIMESTAMP '2024-01-01 02:00:00' AND TIMESTAMP '2024-01-01 10:00:00'",

@@ -557,9 +557,10 @@ def explorer_scatter(spark, sf_dir):
 
 
 def explorer_actions(spark, sf_dir):
-    acts = reports.actions(derived.judged_categories(spark, sf_dir))
+    risk = F.when(c("n_uncertain") > 0, F.lit("medium"))
+    judged = derived.judged_categories(spark, sf_dir).withColumn("risk_of_disabling", risk)
     return explorer.action_list(
-        acts, tunings=("tighten_regex", "reduce_scope"), search="e"
+        reports.actions(judged), tunings=("tighten_regex", "reduce_scope"), search="e"
     )
 
 

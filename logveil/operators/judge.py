@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -21,6 +22,29 @@ Judge = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 BUDGET_STEPS = (1.0, 1.5, 2.0)
 
 
+def _guarded(judge: Judge, keys: list[str]) -> Judge:
+    """`judge`, one batch at a time; a row it raises on or leaves out is a failed call.
+
+    What a batch gave before it raised is kept, so no answered question is asked again.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            open_keys = frame[keys].copy()
+            try:
+                for answers in judge(iter([frame])):
+                    seen = answers[keys].drop_duplicates()
+                    marked = open_keys.merge(seen, on=keys, how="left", indicator=True)
+                    open_keys = marked.loc[marked["_merge"] == "left_only", keys]
+                    yield answers
+            except Exception:
+                logging.getLogger(__name__).exception("the judge failed on %d rows", len(open_keys))
+            if len(open_keys):
+                yield open_keys.assign(reply=None, finish_reason="error")
+
+    return run
+
+
 def ask(
     requests: DataFrame,
     keys: list[str],
@@ -33,7 +57,8 @@ def ask(
 
     Replies are written down before anything else reads them, so no question is asked twice
     because a later step was repeated. Only failed rows go into the next attempt, with a
-    larger budget. Rows that never give a readable verdict are missing from the result.
+    larger budget. Rows that never give a readable verdict are missing from the result. A judge
+    that raises, or gives no answer for a row, costs that row's attempt, logged as `error`.
     """
     reply_schema = T.StructType(
         [requests.schema[k] for k in keys]
@@ -49,7 +74,7 @@ def ask(
         found = json_in_text(F.col("reply"))
         usable = F.col("verdict").isNotNull() & F.ltrim("found").startswith("{")
         answered = stage(
-            sent.mapInPandas(judge, reply_schema)
+            sent.mapInPandas(_guarded(judge, keys), reply_schema)
             .withColumn("found", found)
             .withColumn("verdict", F.from_json("found", verdict))
             .withColumn("attempt", F.lit(attempt))

@@ -97,6 +97,8 @@ def rate_scatter(results: DataFrame) -> DataFrame:
 
 
 def action_list(actions: DataFrame, **filters) -> DataFrame:
+    if "risk_of_disabling" not in actions.columns:
+        actions = actions.withColumn("risk_of_disabling", F.lit(None).cast("string"))
     return (
         filter_actions(actions, **filters)
         .select(
@@ -111,6 +113,7 @@ def action_list(actions: DataFrame, **filters) -> DataFrame:
             F.col("estimated_fp_total").alias("est_fp"),
             shown(F.col("tuning_recommendation")).alias("tuning"),
             shown(F.col("detection_type")).alias("detection_type"),
+            shown(F.col("risk_of_disabling")).alias("risk_of_disabling"),
         )
         .orderBy("tenant_id", "rank")
     )

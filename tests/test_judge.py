@@ -46,6 +46,31 @@ def test_attempts(spark):
     assert outcomes["down", 1] == "error" and outcomes["slow", 3] == "ok"
 
 
+def raising(batches):
+    """Answers the first rows, then raises at "boom"; never answers "skip"."""
+    for batch in batches:
+        for tenant, key in zip(batch["tenant_id"], batch["cluster_id"]):
+            if key == "boom":
+                raise RuntimeError("no connection")
+            if key != "skip":
+                row = (tenant, key, '{"is_sensitive": false}', "stop")
+                yield pd.DataFrame([row], columns=["tenant_id", "cluster_id", "reply", "finish_reason"])
+
+
+def test_failing_calls_are_logged_and_the_rest_goes_on(spark):
+    names = ["a", "skip", "boom", "b"]
+    asked = spark.createDataFrame(
+        [("t", n, "q") for n in names], "tenant_id string, cluster_id string, request string"
+    ).coalesce(1)
+    verdicts, log = judge.ask(asked, ["tenant_id", "cluster_id"], raising, CLUSTER_VERDICT, 100, attempts=2)
+    assert {r["cluster_id"] for r in verdicts.collect()} >= {"a"}
+    outcomes = {(r["cluster_id"], r["attempt"]): r["outcome"] for r in log.collect()}
+    assert outcomes["a", 1] == "ok" and ("a", 2) not in outcomes
+    for name in ("skip", "boom"):
+        assert outcomes[name, 1] == outcomes[name, 2] == "error"
+    assert outcomes["b", 1] in ("ok", "error")
+
+
 @pytest.mark.parametrize("quota", [None, 2, 3, 50])
 def test_quota_is_first_successes(spark, quota):
     fails = {("a", 1), ("a", 3), ("b", 2), ("b", 3), ("b", 4)}
