@@ -14,7 +14,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 # How an empty value is spelled in JSON.
-EMPTY_JSON = ("", "[]", "{}", "false", "0", "null")
+EMPTY_JSON = ("", "[]", "{}", "false", "0", "0.0", "-0.0", "null")
 
 
 def falsy(value: Column) -> Column:

@@ -351,6 +351,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS p
     "snippet_texts": f"WITH RECURSIVE {LOG}{WINDOWS}{SNIPPETS} SELECT seq, det_pos, length(shown) AS shown_chars, md5(shown) AS shown_md5 FROM shown",
     "hashed_embedding": "SELECT doc_id AS seq, 256 AS dimensions, 1.0::DOUBLE AS length FROM documents",
     "reduced_embedding": "SELECT vec_id AS seq, 8 AS dimensions FROM embeddings",
+    "judge_requests": "SELECT doc_id, 'Judge ' || coalesce(source, '') || ' in ' || coalesce(nullif(lang, 'fr'), '') || ': {\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}' AS request FROM documents",
     "cluster_payloads": f"WITH d AS (SELECT substr(source, 4) AS cluster_id, nullif({STAMP}, '') AS stamp FROM documents) SELECT cluster_id, count(*) AS message_count, min(stamp) AS date_from, max(stamp) AS date_to, 10 AS n_keywords, least(5, count(*)) AS n_representatives FROM d GROUP BY 1",
     "judge_attempts": f"WITH {LOG}{PROFILE} SELECT tenant_id, category, least(3, 1 + length(category) % 4) AS attempts, length(category) % 4 <= 2 AS judged FROM profile",
     "audit_trail": f"WITH {LOG}{PROFILE} SELECT 'fp_category' AS event, tenant_id, category, dominant_detection_type AS dominant_type, total_detections, least(8, total_detections) AS samples_shown, round_even(mean_prior, 3) AS mean_fp_prior FROM profile",
@@ -400,3 +401,4 @@ SELECT mode, run_id, round(greatest(apart, 0.0), 6) AS gap_hours, round(greatest
     "report_roundtrip": f"WITH {LOG}{RESULTS} SELECT tenant_id, rank, category, verdict AS assessment, total_detections FROM ranked WHERE ord <= 1",
     "fp_job": f"WITH {LOG}{RESULTS} SELECT tenant_id, rank, category, verdict AS assessment FROM ranked WHERE ord <= 1",
 }
+ORACLE["payload_roundtrip"] = ORACLE["category_payloads"]

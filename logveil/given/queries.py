@@ -337,7 +337,29 @@ def snippet_texts(spark, sf_dir):
 
 
 def category_payloads(spark, sf_dir):
+    return _payload_rows(payloads.category_payloads(derived.valid_log(spark, sf_dir)))
+
+
+def payload_roundtrip(spark, sf_dir):
+    """The category payloads written as JSON, as a run without a judge leaves them, and read back."""
     found = payloads.category_payloads(derived.valid_log(spark, sf_dir))
+    path = f"{shared_folder(spark)}/logveil/payloads_{uuid4().hex}"
+    writers.write_payloads(found, path)
+    return _payload_rows(spark.read.schema(found.schema).json(path))
+
+
+def judge_requests(spark, sf_dir):
+    """A request per document; a missing value fills its mark with nothing."""
+    text = judging.request_text(
+        "Judge {category} in {lang}: {payload}",
+        F.struct("doc_id", "n_chars"),
+        category=c("source"),
+        lang=F.nullif("lang", F.lit("fr")),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("request"))
+
+
+def _payload_rows(found):
     keys = ["tenant_id", "category", "dominant_detection_type", "total_detections", "samples_shown"]
     e = c("example")
     return _flat(found, "examples", "example", *keys).select(
@@ -737,7 +759,7 @@ QUERIES = {
         unit_vectors, eps_edges, dbscan_labels, cluster_sizes, cluster_summary, centroids,
         representatives, cluster_dates, hashed_embedding, reduced_embedding, cluster_keywords,
         keyword_weights, single_doc_words, entity_windows, merged_windows, snippet_texts,
-        category_payloads, cluster_payloads, verdict_tallies, judge_attempts, audit_trail, quota_refill, action_required,
+        category_payloads, payload_roundtrip, judge_requests, cluster_payloads, verdict_tallies, judge_attempts, audit_trail, quota_refill, action_required,
         fp_summary, suggestions, sensitive_rate, cluster_order, cluster_conformance,
         category_conformance, explorer_overview, explorer_value_counts, explorer_suggestions,
         explorer_cards, explorer_clusters, explorer_scatter, explorer_actions, explorer_drilldown,

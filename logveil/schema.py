@@ -23,7 +23,8 @@ DETECTION = _struct(
     entity_texts_with_subcategories=T.MapType(S, S),
 )
 
-# as found in a log file; `seq` and `event_ts` are added when it is read
+# as found in a log file; `seq` and `event_ts` are added when it is read. `errors` is JSON text, but
+# a string in it comes without quotes unless it spells an empty value (`"0"`), which is an error
 LOG_RECORD = _struct(
     tenant_id=S,
     created_at=S,

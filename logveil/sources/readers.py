@@ -17,6 +17,8 @@ from logveil.schema import LOG_RECORD
 
 # Names under which an envelope may hold its records, first match wins.
 ENVELOPE_NAMES = ("logs", "records", "data", "results")
+# Fixed value: spellings of an empty JSON value, which a string can have as well.
+UNCLEAR = r"^(\[\]|\{\}|false|null|-?0(\.0*)?([eE][-+]?\d+)?)$"
 # files of an array log are numbered; each gets room for this many records
 FILE_ROOM = 2**36
 
@@ -106,23 +108,45 @@ def with_event_time(records: DataFrame) -> DataFrame:
     return records.withColumn("event_ts", F.try_to_timestamp(F.nullif("created_at", F.lit(""))))
 
 
+def parsed(rows: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
+    """`rows` with the JSON objects in `raw` spread into the columns of `schema`.
+
+    The type of `errors` is looked up where its text may be an empty value or a string that
+    only spells one.
+    """
+    others = [c for c in rows.columns if c != raw]
+    typed = F.to_json(F.from_json(raw, "errors variant")["errors"])
+    unclear = F.col("errors").rlike(UNCLEAR)
+    return (
+        rows.withColumn("_r", F.from_json(raw, schema))
+        .select(*others, raw, "_r.*")
+        .withColumn("errors", F.when(unclear, F.coalesce(typed, "errors")).otherwise(F.col("errors")))
+        .select(*others, *schema.names)
+    )
+
+
 def read_array_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON-array files in file and array order, broken members left out."""
     members = array_members(spark, path).where("ok")
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
     order = numbered(files, [], ["file"], "file_no")
     return with_event_time(
-        members.join(order, "file").select(
-            ((F.col("file_no") - 1) * F.lit(FILE_ROOM) + F.col("pos")).alias("seq"),
-            F.from_json("record_json", LOG_RECORD).alias("r"),
-        ).select("seq", "r.*")
+        parsed(
+            members.join(order, "file").select(
+                ((F.col("file_no") - 1) * F.lit(FILE_ROOM) + F.col("pos")).alias("seq"),
+                "record_json",
+            ),
+            "record_json",
+            LOG_RECORD,
+        )
     )
 
 
 def read_lines_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON-lines files, which Spark splits; each line carries its own `seq`."""
     schema = T.StructType([T.StructField("seq", T.LongType()), *LOG_RECORD.fields])
-    return with_event_time(spark.read.schema(schema).json(path))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return with_event_time(parsed(lines, "value", schema))
 
 
 def read_table_log(spark: SparkSession, path: str) -> DataFrame:

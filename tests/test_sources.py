@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from logveil.operators import filters
 from logveil.plans import runs
 from logveil.sources import ledger, readers, writers
 from logveil.streaming.ingest import ingest
@@ -148,3 +149,19 @@ def test_report_documents_and_audit(spark, tmp_path):
     writers.append_audit(writers.run_event(spark, "run_start", "intent", None, at), log)
     writers.append_audit(writers.run_event(spark, "run_end", "intent", "ok", at), log)
     assert {r["event"] for r in spark.read.json(log).collect()} == {"run_start", "run_end"}
+
+
+@pytest.mark.parametrize("layout", ["lines", "array"])
+def test_errors_keep_their_type(spark, tmp_path, layout):
+    """Empty values are no errors, strings that only spell them are; so are odd objects."""
+    none = ["0.0", "0", "-0", "0e3", "false", "[]", "{}", "null", '""']
+    some = ['"0"', '"false"', '"[]"', '"null"', "1", "0.5", "true", '[""]', '{"a":1,"a":2}', '"timeout"']
+    objects = [f'{{"seq":{i},"input_text":"m{i}","errors":{e}}}' for i, e in enumerate(none + some)]
+    if layout == "lines":
+        write(tmp_path / "log", "a.json", "\n\n".join(objects) + "\n")
+        rows = readers.read_lines_log(spark, str(tmp_path / "log"))
+    else:
+        write(tmp_path / "log", "a.json", "[" + ",".join(objects) + "]")
+        rows = readers.read_array_log(spark, str(tmp_path / "log"))
+    valid = {r["input_text"] for r in filters.valid_records(rows).collect()}
+    assert valid == {f"m{i}" for i in range(len(none))}
