@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from logveil.llm import bpe, chat_format, decontamination, html_text, language_id, line_dedup
-from logveil.llm import quality, simhash_dedup, substring_dedup, token_counts
+from logveil.llm import near_dedup, quality, simhash_dedup, substring_dedup, token_counts
 from logveil.llm.pretokens import Vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, row string, block string"
@@ -150,6 +150,54 @@ def test_large_shards_are_cut_without_losing_links(spark):
     assert roots(pairs) == roots(true)
 
 
+def word_sets(text, shingle=5):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
+    if len(w) < shingle:
+        return frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1))
+
+
+def first_wins(rows, similarity=0.8):
+    """Places of the rows that stay: no kept one before is similar. A plain double loop."""
+    kept = []
+    for at in sorted(range(len(rows)), key=lambda k: low(rows[k][0])):
+        own = word_sets(rows[at][1])
+        if not any(own == s or own and s and len(own & s) >= similarity * len(own | s) for _, s in kept):
+            kept.append((at, own))
+    return [at for at, _ in kept]
+
+
+@pytest.mark.parametrize("listed", [1 << 17, 0])
+def test_pipeline_near_duplicates_equal_brute_force(spark, docs, rows, monkeypatch, listed):
+    monkeypatch.setattr(near_dedup, "LISTED", listed)
+    monkeypatch.setattr(near_dedup, "SAMPLED", 2)
+    rng = random.Random(11)
+    template = passage(rng, 60)
+    made = [(100 + i, " ".join([*template, *passage(rng, 12)])) for i in range(40)]  # about 0.65 to each other
+    for size in [3, 8, 40, 150, 600] * 4:
+        first = passage(rng, size)
+        for _ in range(8):
+            copy = list(first)
+            for _ in range(rng.randint(0, 1 + len(first) // 60)):
+                copy[rng.randrange(len(copy))] = "changed" + str(rng.randint(0, 9))
+            made.append((rng.randint(200, 10**6), " ".join(copy).upper() if rng.random() < 0.2 else " ".join(copy)))
+    wide = spark.createDataFrame(made, "doc_id long, text string")
+    table = docs.select("doc_id", "text").unionByName(wide)
+    plain = [(i, t) for i, t, *_ in rows] + made
+    got = near_dedup.one_of_each(table)
+    assert got.columns == table.columns
+    got = [tuple(r) for r in got.collect()]
+    expected = [plain[at] for at in first_wins(plain)]
+    assert sorted(i is None and low(i) or i for i, _ in got) == sorted(low(i) for i, _ in expected)
+    parts = {t: word_sets(t) for _, t in plain}
+    similar = [
+        (a, b) for k, (_, a) in enumerate(made) for _, b in made[:k]
+        if parts[a] != parts[b] and len(parts[a] & parts[b]) >= 0.8 * len(parts[a] | parts[b])
+    ]
+    assert len(similar) > 20 and len(expected) < len(plain) - 20
+
+
 # ------------------------------------------------------------------ tokens
 
 
