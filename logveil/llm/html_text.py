@@ -7,8 +7,9 @@ prefix doubling until ranks tell their first `RUN` tokens apart: equal ranks on
 repeated runs of at least `RUN` tokens, and the tokens they cover are boilerplate.
 
 Where a page declares its article (`article`, `main` or the like), that declaration is checked
-against the runs last and wins: its blocks stay, also where another page repeats them (copies and
-quoted passages are main text), and blocks outside it go. On other pages the covered tokens go and
+against the runs last: blocks outside it go, and so do blocks inside it that are wholly covered by runs on
+`COMMON` of the host's pages or more (notices set into every article; `COMMON_PAGES` at least). Its other blocks stay,
+also where another page repeats them (copies and quoted passages are main text). On other pages the covered tokens go and
 the unique runs stay; a page of which nothing would be left is a copy and keeps its blocks.
 
 Hosts of more than `SHARD` bytes of HTML are cut into shards by a hash of page_id, so one task
@@ -35,6 +36,7 @@ from logveil.llm.words import covered, words, released
 from logveil.scratch import stage
 
 RUN, SHARD = 8, 4 << 20
+COMMON, COMMON_PAGES = 0.5, 5  # the share of a host's pages, and how many at least, of a notice inside articles
 
 # Element names and the usual names of page parts.
 _DROPPED = frozenset(
@@ -144,8 +146,8 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
 # ------------------------------------------------------------------ repeated runs
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, end: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Mask of the tokens in runs of `run` or more that occur on distinct pages.
+def standing(tokens: np.ndarray, page: np.ndarray, end: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(place, number of distinct pages) of the runs of `run` tokens.
 
     tokens: of all pages, one after another; page: the page of each; end: where that page ends.
     """
@@ -159,28 +161,37 @@ def repeated(tokens: np.ndarray, page: np.ndarray, end: np.ndarray, run: int = R
         rank = np.unique((rank << 32) | (after + 1), return_inverse=True)[1].astype(np.int64)
         step += far
     place = np.flatnonzero(end - np.arange(n) >= run)
-    order = place[np.argsort(rank[place], kind="stable")]
+    order = place[np.lexsort((page[place], rank[place]))]
     if not len(order):
-        return np.zeros(n, bool)
-    head = np.flatnonzero(np.diff(rank[order], prepend=-1))
-    owner = page[order]
-    several = np.maximum.reduceat(owner, head) != np.minimum.reduceat(owner, head)
-    size = np.diff(np.append(head, len(order)))
-    return covered(order[np.repeat(several, size)], run, n)
-
-
-def _kept(own: list[tuple[str, bool]], mask: np.ndarray) -> str:
-    """The text of one page whose tokens `mask` marks as repeated."""
-    if any(declared for _, declared in own):
-        return "\n\n".join(t for t, declared in own if declared)
+        return order, order
+    new = np.diff(rank[order], prepend=-1) != 0
+    head = np.flatnonzero(new)
+    new[1:] |= np.diff(page[order]) != 0
+    several = np.add.reduceat(new.astype(np.int64), head)
+    return order, np.repeat(several, np.diff(np.append(head, len(order))))
+
+
+def repeated(tokens: np.ndarray, page: np.ndarray, end: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Mask of the tokens in runs of `run` or more that occur on distinct pages."""
+    place, pages = standing(tokens, page, end, run)
+    return covered(place[pages > 1], run, len(tokens))
+
+
+def _kept(own: list[tuple[str, bool]], mask: np.ndarray, often: np.ndarray) -> str:
+    """The text of one page whose tokens `mask` marks as repeated, and `often` as common on its host."""
     kept, at = [], 0
-    for text, _ in own:
+    declares = any(declared for _, declared in own)
+    for text, declared in own:
         parts = text.split(" ")
-        left = [t for t, gone in zip(parts, mask[at : at + len(parts)].tolist()) if not gone]
+        here = slice(at, at + len(parts))
         at += len(parts)
+        if declares:
+            left = parts if declared and not often[here].all() else []
+        else:
+            left = [t for t, gone in zip(parts, mask[here].tolist()) if not gone]
         if left:
             kept.append(" ".join(left))
-    return "\n\n".join(kept or [t for t, _ in own])
+    return "\n\n".join(kept or [t for t, declared in own if declared or not declares])
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -193,8 +204,11 @@ def _shard(rows: list[tuple[int | None, str | None, list[tuple[str, bool]]]]) ->
     counts = np.concatenate([w.counts for w in found])
     end = np.cumsum(counts)
     number = np.unique([-1 if i is None else i for i, _, _ in rows], return_inverse=True)[1]
-    mask = repeated(tokens, np.repeat(number, counts), np.repeat(end, counts))
-    texts = [_kept(own, mask[e - n : e]) for (_, _, own), n, e in zip(rows, counts, end)]
+    place, pages = standing(tokens, np.repeat(number, counts), np.repeat(end, counts))
+    mask = covered(place[pages > 1], RUN, len(tokens))
+    least = max(COMMON_PAGES, COMMON * (number.max() + 1))
+    often = covered(place[pages >= least], RUN, len(tokens))
+    texts = [_kept(own, mask[e - n : e], often[e - n : e]) for (_, _, own), n, e in zip(rows, counts, end)]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string())],
         schema=_OUT,

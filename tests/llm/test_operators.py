@@ -365,6 +365,26 @@ def test_pages(spark):
     assert (found == true).all()
 
 
+def notice_pages():
+    """Forty declared pages of one host: a notice in each, a passage quoted on three, and their own words."""
+    rng = random.Random(9)
+    notice, quoted = " ".join(passage(rng, 12)), " ".join(passage(rng, 15))
+    rows, texts = [], {}
+    for i in range(40):
+        own = " ".join(passage(rng, 30)) + f" page{i}"
+        parts = [own, quoted] if i < 3 else [own]
+        inside = "".join(f"<p>{x}</p>" for x in [parts[0], notice, *parts[1:]])
+        rows.append((i, "http://h.i/x", f"<main>{inside}</main>"))
+        texts[i] = "\n\n".join(parts)
+    return rows, texts
+
+
+def test_notices_inside_declared_articles_go_and_quotes_stay(spark):
+    rows, texts = notice_pages()
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(table).collect()} == texts
+
+
 # ------------------------------------------------------------------ all of them
 
 
