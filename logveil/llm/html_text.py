@@ -13,8 +13,8 @@ also where another page repeats them (copies and quoted passages are main text).
 the unique runs stay; a page of which nothing would be left is a copy and keeps its blocks.
 
 Hosts of more than `SHARD` bytes of HTML are cut into shards by a hash of page_id, so one task
-never holds a host, however large; runs are searched within a shard. What stands on many pages of a
-host stands on several pages of each of its shards.
+never holds a host, however large. Suffixes are ranked within a shard; what stands on pages of different shards is
+found by grouping the hashes of all runs of such a host, and goes back to its pages as lists.
 
 Defined cases: null or empty html gives an empty text; pages without a host share the empty
 one; markup cut off in the middle counts as far as it goes; repeated rows are distinct pages only
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logveil.llm.words import covered, words, released
+from logveil.llm.words import covered, released, windows, words
 from logveil.scratch import stage
 
 RUN, SHARD = 8, 4 << 20
@@ -197,18 +197,74 @@ def _kept(own: list[tuple[str, bool]], mask: np.ndarray, often: np.ndarray) -> s
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
-def _shard(rows: list[tuple[int | None, str | None, list[tuple[str, bool]]]]) -> pa.RecordBatch:
-    streams = pa.array([" ".join(t for t, _ in own) for _, _, own in rows], pa.string())
+def _stream(own: list[tuple[str, bool]]) -> str:
+    return " ".join(t for t, _ in own)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct runs of each page, by hash."""
+    for batch in batches:
+        hosts, pages = batch["host"].to_pylist(), batch["page"]
+        for w in words(pa.array([_stream(blocks(h)) for h in batch["html"].to_pylist()], pa.string())):
+            place, h = windows(w, RUN)
+            owner = np.searchsorted(w.cut, place, "right") - 1
+            order = np.lexsort((h, owner))
+            owner, h = owner[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            owner, h = owner[new] + w.first, h[new]
+            names = pa.array(hosts, pa.string()).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([names, pages.take(pa.array(owner)), pa.array(h.view(np.int64))], ["host", "page", "run"])
+
+
+def _across(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """(host, page, again, common): the runs of a cut host's pages that stand on several pages, and on many."""
+    cut = rows.join(large.select("host", "pages"), "host")
+    page = F.coalesce("page_id", F.lit(-1).cast("long")).alias("page")
+    runs = cut.select("host", page, "html").mapInArrow(released(_runs), "host string, page bigint, run bigint")
+    runs = runs.repartition("host", "run").distinct()
+    counts = runs.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = F.greatest(F.lit(float(COMMON_PAGES)), F.col("pages") * F.lit(COMMON))
+    return (
+        runs.join(counts, ["host", "run"])
+        .join(large.select("host", "pages"), "host")
+        .groupBy("host", "page")
+        .agg(F.collect_list("run").alias("again"), F.collect_list(F.when(F.col("n") >= least, F.col("run"))).alias("common"))
+    )
+
+
+def _marked(found: list, first: list[int], lists: tuple) -> np.ndarray:
+    """Mask of the tokens in those runs of each page that its list names."""
+    out = []
+    for w, at in zip(found, first):
+        place, h = windows(w, RUN)
+        owner = np.searchsorted(w.cut, place, "right") - 1
+        bounds = np.searchsorted(owner, np.arange(len(w) + 1))
+        hit = np.zeros(len(h), bool)
+        for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])):
+            if lists[at + i]:
+                hit[x:y] = np.isin(h[x:y].view(np.int64), np.array(lists[at + i], np.int64))
+        out.append(covered(place[hit], RUN, len(w.hash)))
+    return np.concatenate(out)
+
+
+def _shard(rows: list[tuple], lists: dict[int, tuple[list[int], list[int]]]) -> pa.RecordBatch:
+    streams = pa.array([_stream(r[2]) for r in rows], pa.string())
     found = list(words(streams))
     tokens = np.concatenate([w.hash for w in found])
     counts = np.concatenate([w.counts for w in found])
     end = np.cumsum(counts)
-    number = np.unique([-1 if i is None else i for i, _, _ in rows], return_inverse=True)[1]
+    number = np.unique([-1 if i is None else i for i, *_ in rows], return_inverse=True)[1]
     place, pages = standing(tokens, np.repeat(number, counts), np.repeat(end, counts))
     mask = covered(place[pages > 1], RUN, len(tokens))
     least = max(COMMON_PAGES, COMMON * (number.max() + 1))
     often = covered(place[pages >= least], RUN, len(tokens))
-    texts = [_kept(own, mask[e - n : e], often[e - n : e]) for (_, _, own), n, e in zip(rows, counts, end)]
+    if rows[0][3]:  # the host is cut: what stands on how many pages was settled over all its shards
+        first = [w.first for w in found]
+        again, common = zip(*(lists.get(r[4], ([], [])) for r in rows))
+        mask |= _marked(found, first, again)
+        often = _marked(found, first, common)
+    texts = [_kept(own, mask[e - n : e], often[e - n : e]) for (_, _, own, *_), n, e in zip(rows, counts, end)]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string())],
         schema=_OUT,
@@ -217,16 +273,20 @@ def _shard(rows: list[tuple[int | None, str | None, list[tuple[str, bool]]]]) ->
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads pages sorted by shard, and handles a shard as soon as it is complete."""
-    key, rows = None, []
+    key, rows, lists = None, [], {}
     for batch in batches:
         for row in batch.to_pylist():
-            if (row["host"], row["shard"]) != key and rows:
-                yield _shard(rows)
-                rows = []
+            if (row["host"], row["shard"]) != key:
+                if rows:
+                    yield _shard(rows, lists)
+                rows, lists = [], {}
             key = (row["host"], row["shard"])
-            rows.append((row["page_id"], row["url"], blocks(row["html"])))
+            if row["again"] is not None:
+                lists[row["page"]] = row["again"], row["common"]
+            else:
+                rows.append((row["page_id"], row["url"], blocks(row["html"]), row["cut"], row["page"]))
     if rows:
-        yield _shard(rows)
+        yield _shard(rows, lists)
 
 
 def main_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -238,15 +298,23 @@ def main_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     )
     large = stage(
         rows.groupBy("host")
-        .agg(F.sum(F.octet_length("html")).alias("size"))
+        .agg(
+            F.sum(F.octet_length("html")).alias("size"),
+            F.count_distinct(F.coalesce("page_id", F.lit(-1).cast("long"))).alias("pages"),
+        )
         .where(F.col("size") > shard)
-        .select("host", F.ceil(F.col("size") / shard).cast("int").alias("parts")),
+        .select("host", F.ceil(F.col("size") / shard).cast("int").alias("parts"), "pages"),
         "hosts",
     )
+    across = stage(_across(rows, large), "runs")
+    # Lists come as rows of their own, so that pages are shuffled once.
+    own = rows.withColumn("page", F.coalesce("page_id", F.lit(-1).cast("long")))
     return (
-        rows.join(large, "host", "left")
-        .withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int"))
-        .select("host", "shard", "page_id", "url", "html")
+        own.unionByName(across, allowMissingColumns=True)
+        .join(large, "host", "left")
+        .withColumn("cut", F.col("parts").isNotNull())
+        .withColumn("shard", F.pmod(F.xxhash64("page"), F.coalesce("parts", F.lit(1))).cast("int"))
+        .select("host", "shard", "page", "page_id", "url", "html", "cut", "again", "common")
         .repartition("host", "shard")
         .sortWithinPartitions("host", "shard")
         .mapInArrow(released(_extract), "page_id bigint, url string, text string")

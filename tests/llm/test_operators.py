@@ -385,6 +385,18 @@ def test_notices_inside_declared_articles_go_and_quotes_stay(spark):
     assert {r["page_id"]: r["text"] for r in html_text.main_text(table).collect()} == texts
 
 
+def test_a_cut_host_gives_the_texts_of_a_whole_one(spark):
+    rng = random.Random(10)
+    footer = " ".join(passage(rng, 10))
+    rows, _ = notice_pages()
+    for i in range(40, 80):  # no declared article; a footer on two pages only
+        rows.append((i, "http://h.j/x", f"<p>{' '.join(passage(rng, 30))}</p>" + f"<p>{footer}</p>" * (i in (41, 77))))
+    rows.append((None, "http://h.j/x", f"<p>no id</p><p>{footer}</p>"))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, cut = (sorted(map(tuple, html_text.main_text(table, n).collect()), key=repr) for n in (1 << 20, 300))
+    assert whole == cut and not any(footer in text for *_, text in cut)
+
+
 # ------------------------------------------------------------------ all of them
 
 
