@@ -10,8 +10,11 @@ from logveil.llm import (
     bpe,
     chat_format,
     decontamination,
+    embedding_dedup,
+    hard_negatives,
     html_text,
     language_id,
+    lexical_search,
     line_dedup,
     quality,
     simhash_dedup,
@@ -107,6 +110,18 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -120,6 +135,9 @@ QUERIES = {
         op8_chat_format,
         op9_bpe,
         op10_decontamination,
+        op11_lexical_search,
+        op12_hard_negatives,
+        op13_embedding_dedup,
     )
 }
 
@@ -200,4 +218,77 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coale
 from docs d left join hits using (doc_id) left join named using (doc_id)
 """
 
+_OP11 = rf"""
+with docs as (
+  select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), words as (
+  select row_number() over () as row, doc_id, w, len(w)::bigint as n from docs where len(w) > 0
+), totals as (
+  select count(*)::bigint as big_n, sum(n)::bigint as big_l from words
+), queries as (
+  select distinct item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from benchmark
+), tf as (
+  select row, doc_id, n, t, count(*)::bigint as tf from (select row, doc_id, n, unnest(w) as t from words)
+  where t in (select t from queries) group by all
+), df as (
+  select t, count(*)::bigint as df from tf group by t
+), weights as (
+  select t, floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)::double))::bigint as w from df, totals
+), adds as (
+  select row, doc_id, t,
+    w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * big_n) // big_l)))) as a
+  from tf join weights using (t), totals
+), scores as (
+  select item_id, row, doc_id, sum(a)::bigint as score from adds join queries using (t) group by all
+), ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id nulls first)::integer as rank
+  from scores where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
+_OP12 = """
+with given as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scores as (
+  select a.vec_id as anchor_id, r.vec_id as row_id, a.label = r.label as same,
+    list_inner_product(a.v::double[], r.v::double[])::bigint as score
+  from given a join given r on a.vec_id <> r.vec_id where a.vec_id % 50 = 0
+), positives as (
+  select anchor_id, row_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, row_id) <= 5
+), windows as (
+  select p.*, row_id as negative_id, score as negative_score,
+    row_number() over (partition by anchor_id, positive_id order by score desc, row_id)::integer as rank
+  from positives p join scores s using (anchor_id)
+  where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from windows where rank <= 3
+"""
+
+_OP13 = """
+with recursive sound as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.98
+), reach(a, b) as (
+  select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a
+), low as (
+  select a as vec_id, min(b) as component_id from reach group by a
+), sums as (
+  select a as vec_id, count(*) as n from links group by a
+)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings left join sums using (vec_id) join low using (vec_id)
+"""
+
 ORACLE = {"op3_substring_dedup": _OP3, "op5_line_dedup": _OP5, "op10_decontamination": _OP10}
+ORACLE |= {"op11_lexical_search": _OP11, "op12_hard_negatives": _OP12, "op13_embedding_dedup": _OP13}

@@ -8,11 +8,15 @@ has a 64-bit hash: a polynomial over its bytes, read off prefix sums, then mixed
 from __future__ import annotations
 
 import ctypes
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 SLICE = 1 << 19
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -40,6 +44,12 @@ def released(run: Callable) -> Callable:
     return task
 
 
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast value, opened in a task by calling this; classes travel with it as code."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)
+
+
 @dataclass
 class Words:
     """Words of texts `first` to `first + len(cut) - 2` of a column; text i has words cut[i] to cut[i + 1]."""
