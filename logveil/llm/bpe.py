@@ -7,7 +7,8 @@ ranks. A merged symbol only takes part in merges of higher rank (its own merge c
 the vocabulary was learned), so ascending order gives each piece what merging it alone
 would. Pairs that a merge has broken stay in their lists and are passed over.
 
-Documents are never shuffled. Memory follows one slice of whole texts.
+Documents are never shuffled. Memory follows one slice of whole texts, and the ids of at most `KNOWN`
+pieces that a task has met before and does not encode again.
 
 Defined cases: a null text is empty and has no ids; an empty table gives an empty result; repeated
 rows each get their row; special strings in a text become their id, and ids decode to them. Ids
@@ -17,6 +18,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -31,6 +33,9 @@ from logveil.llm.pretokens import Vocabulary, folded, per_worker, slices, with_p
 from logveil.llm.words import released
 
 
+SLICE, KNOWN = 1 << 17, 1 << 16
+
+
 def _printed_bytes() -> dict[str, int]:
     """How vocabularies of this kind print bytes: the visible Latin-1 ones as themselves, others above 255."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
@@ -153,13 +158,37 @@ def gather(values: np.ndarray, cut: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return values[np.repeat(cut[:-1][rows] - begin[:-1], n) + np.arange(begin[-1])], begin
 
 
+class _Known:
+    """The ids of the pieces that a task has met; forgotten as a whole when they get too many."""
+
+    def __init__(self, m: Merges) -> None:
+        self.merges = m
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.begin = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Where each piece stands; new ones are encoded together."""
+        if max(len(self.number), len(self.ids) >> 4) > KNOWN:
+            self.forget()
+        new = [p for p in pieces if p not in self.number]
+        if new:
+            ids, begin = encode_pieces(new, self.merges)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.begin = np.concatenate([self.begin, self.begin[-1] + begin[1:]])
+            self.ids = np.concatenate([self.ids, ids])
+        return np.array([self.number[p] for p in pieces], np.int64)
+
+
 def _encoder(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merges(vocabulary)
-        for batch in (part for whole in batches for part in slices(whole, "pieces")):
+        known = _Known(merges(vocabulary))
+        for batch in (part for whole in batches for part in slices(whole, "pieces", SLICE)):
             distinct, places, cut = folded(batch, vocabulary)
-            ids, begin = encode_pieces(distinct, m)
-            flat, at = gather(ids, begin, places)
+            number = known.places(distinct)[places]
+            flat, at = gather(known.ids, known.begin, number)
             lists = pa.ListArray.from_arrays(pa.array(at[cut].astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], ["doc_id", "ids"])
 
@@ -172,27 +201,27 @@ def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return pieces.mapInArrow(released(_encoder(vocabulary)), "doc_id bigint, ids array<int>")
 
 
-def _decoder(vocabulary: Vocabulary, keep: list[str]):
+def _decoder(vocabulary: Vocabulary, keep: list[str], digest: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = merges(vocabulary).spelled
-        for batch in (part for whole in batches for part in slices(whole, "ids")):
+        for batch in (part for whole in batches for part in slices(whole, "ids", SLICE)):
             lists = batch["ids"]
             flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
             texts, at = [], 0
             for size in pc.list_value_length(lists).fill_null(0).to_pylist():
-                texts.append(b"".join([spelled[i] for i in flat[at : at + size]]).decode("utf-8", "replace"))
+                text = b"".join([spelled[i] for i in flat[at : at + size]]).decode("utf-8", "replace")
+                texts.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
                 at += size
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in keep), pa.array(texts, pa.string())], [*keep, "decoded"]
-            )
+            name = "decoded_sha256" if digest else "decoded"
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(texts, pa.string())], [*keep, name])
 
     return run
 
 
 def round_trip(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, ids, decoded): both ways in one task, so ids do not pass through a second worker."""
-    there, back = _encoder(vocabulary), _decoder(vocabulary, ["doc_id", "ids"])
-    ddl = "doc_id bigint, ids array<int>, decoded string"
+    """(doc_id, ids, decoded_sha256): both ways in one task; of the decoded text only a digest leaves it."""
+    there, back = _encoder(vocabulary), _decoder(vocabulary, ["doc_id", "ids"], digest=True)
+    ddl = "doc_id bigint, ids array<int>, decoded_sha256 string"
     return with_pieces(documents, vocabulary).mapInArrow(released(lambda batches: back(there(batches))), ddl)
 
 

@@ -7,14 +7,15 @@ looked up in buckets, and the patterns found there are compared word by word wit
 A text is cut into lanes of `LANE` window ends that advance together as arrays, which is the
 usual loop for many places at once; every place is visited or skipped by the table.
 
-The benchmark reaches tasks in broadcast blocks of at most `BLOCK_WORDS` words (an item is never cut;
-one that is longer makes a block of its own, and one block is built at a time). Several blocks are
-several passes over the same rows in one stage; documents are never shuffled.
+The benchmark is cut in Spark to pieces of `PIECE` window starts, which overlap by the rest of a window,
+so an item of any length is bounded pieces of one item_id. Pieces reach tasks in broadcast blocks of
+about `BLOCK_WORDS` words, one built at a time. Several blocks are several passes over the same rows;
+after `PASSES` of them hits are written. Documents are never shuffled.
 
 Defined cases: a null text or item has no words, and such an item no pattern; an empty benchmark
 hits nothing; an empty table gives an empty result; repeated documents each get their row;
 items that share an item_id count as one, and a null item_id is an empty string. Other
-columns are ignored.
+columns are ignored, or kept by `retained`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logveil.llm.words import MARKS, covered, mix, words
+from logveil.llm.rows import packed
+from logveil.llm.words import MARKS, covered, mix, released, shipped, words
+from logveil.scratch import stage
 
 SIZE = 13
 LANE = 512
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS, PIECE, PASSES = 1 << 20, 1 << 15, 4
+# Fixed value: what is no word of letters, digits or characters beyond ASCII, once A-Z are folded.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TABLE_BITS = 20
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
@@ -130,17 +135,26 @@ def patterns(items: list[tuple[str | None, str | None]]) -> list[Patterns]:
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    for row in rows.toLocalIterator():
-        n = len((row[1] or "").encode()) // 2 + 1  # words at most
-        if block and size + n > BLOCK_WORDS:
+    for row in _pieces(benchmark).toLocalIterator():
+        if block and size + row["n"] > BLOCK_WORDS:
             yield block
             block, size = [], 0
-        block.append((row[0], row[1]))
-        size += n
+        block.append((row["item_id"], row["piece"]))
+        size += row["n"]
     yield block
 
 
+def _pieces(benchmark: DataFrame) -> DataFrame:
+    """(item_id, piece, n): every window of an item lies in one of its pieces."""
+    text = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    item = F.col("item_id").cast("string").alias("item_id")
+    w = benchmark.select(item, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - SIZE, F.lit(0)), F.lit(PIECE))
+    cut = w.select("item_id", "w", F.explode(starts).alias("at"))
+    piece = F.slice("w", F.col("at") + 1, PIECE + SIZE - 1)
+    return cut.select("item_id", F.array_join(piece, " ").alias("piece"), F.size(piece).alias("n"))
+
+
 _FOUND = (
     T.StructType()
     .add("n_words", T.LongType())
@@ -150,9 +164,9 @@ _FOUND = (
 )
 
 
-def _scanner(table):
+def _scanner(opened):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = table.value
+        search = opened()
         for batch in batches:
             before = batch.to_pydict() if "hit" in batch.schema.names else None
             for w in words(batch["text"], MARKS, lower=True):
@@ -194,12 +208,14 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, whole_rows: bool
 
     With `whole_rows`, a struct `row` of all columns stands in place of doc_id.
     """
-    sc = documents.sparkSession.sparkContext
-    own = F.struct(*documents.columns) if whole_rows else F.struct(F.col("doc_id").cast("long").alias("doc_id"))
+    spark = documents.sparkSession
+    own = packed(documents) if whole_rows else F.struct(F.col("doc_id").cast("long").alias("doc_id"))
     found = documents.select(own.alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([*found.schema, *_FOUND])
-    for block in _item_blocks(benchmark):
-        found = found.mapInArrow(_scanner(sc.broadcast(patterns(block))), schema)
+    for number, block in enumerate(_item_blocks(benchmark)):
+        if number and number % PASSES == 0:
+            found = stage(found, "hits")
+        found = found.mapInArrow(released(_scanner(shipped(spark, patterns(block)))), schema)
     return found.select("row" if whole_rows else "row.doc_id", "n_words", "n_hit", "items")
 
 

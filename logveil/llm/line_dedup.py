@@ -14,7 +14,8 @@ text with very many lines costs time in proportion to them.
 
 Defined cases: a null text has no lines and stays null; texts of one or two lines have no window;
 an empty table gives an empty result; rows that share a doc_id each lose what any of them
-loses; a null doc_id comes before all others. All columns of the input are kept.
+loses; a null doc_id comes before all others. All columns of the input are kept, whatever their names;
+columns called n_lines and n_removed_lines are replaced by this operator's.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logveil.llm.rows import packed
 from logveil.scratch import stage
 
 SIZE = 3
+ADDED = ("n_lines", "n_removed_lines")
 _KEY = "__line_key"
 
 
@@ -76,8 +79,9 @@ def _between(lines, found):
 def remove_repeated_lines(documents: DataFrame) -> DataFrame:
     """The documents with `text` shortened, and n_lines and n_removed_lines added."""
     lowest = F.lit(-(1 << 63)).cast("long")
-    keyed = documents.withColumn(_KEY, F.coalesce(F.col("doc_id").cast("long"), lowest))
-    rows = window_rows(keyed.select(_KEY, F.col("text").cast("string").alias("text")))
+    key, text = F.coalesce(F.col("doc_id").cast("long"), lowest).alias(_KEY), F.col("text").cast("string").alias("text")
+    keyed = documents.select(key, text, packed(documents, ADDED))
+    rows = window_rows(keyed.select(_KEY, "text"))
     repeated = stage(
         rows.groupBy("h1", "h2")
         .agg(F.min(F.struct(_KEY, "at")).alias("e"), F.count(F.lit(1)).alias("n"))
@@ -93,7 +97,7 @@ def remove_repeated_lines(documents: DataFrame) -> DataFrame:
     )
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"] + 1)
     return out.select(
-        *[kept.alias(c) if c == "text" else F.col(c) for c in documents.columns],
+        *[kept.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns if c not in ADDED],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(lost, F.lit(0).cast("long")).alias("n_removed_lines"),
     )

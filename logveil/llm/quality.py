@@ -6,10 +6,12 @@ likely sequence; a text is kept when its content lines hold at least `SHARE` of
 and no base rule fails.
 
 The field is trained here, on a bounded sample: at most `SAMPLE` labelled texts of each quality, the
-ones with the least hash of doc_id, and of each at most `LINES` lines. Lines of texts labelled
-low are taken as boilerplate, those of the others as content; the chain and the share even out the
-lines this gets wrong. Without labels of both kinds every line counts as content. Everything
-else runs over whole texts, in place, without a shuffle.
+ones with the least hash of doc_id, and of each at most `LINES` lines and `CHARS` characters, so what comes to the
+driver is bounded. Lines start out with the label of their text. The field trained on these then says of each
+line what its own features make of it; where that outweighs the text's label by `PRIOR` (in log odds), the line
+changes sides, and the field is trained again, `TURNS` times. So a text may hold lines of both kinds, and the chain
+learns where they meet. Without labels of both kinds every line counts as content. Everything else runs over
+whole texts, in place, without a shuffle.
 
 Defined cases: a null text has no words and fails; an empty table gives an empty result;
 repeated rows each get their row; labels with a null or unknown doc_id are not used, and doc_ids
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logveil.llm.rows import packed
 from logveil.llm.words import BLANKS, Words, _hashes, covered, mix, per_text, windows, words, released
 
-SAMPLE, LINES, SHARE, ROUNDS = 400, 40, 0.25, 80
+SAMPLE, LINES, CHARS, SHARE, ROUNDS = 400, 40, 20_000, 0.25, 80
+PRIOR, TURNS = 1.0, 2
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 _CAPITAL = np.zeros(256, bool)
@@ -150,17 +154,21 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def train(cut: np.ndarray, features: np.ndarray, content: np.ndarray) -> Field:
-    """Maximum likelihood by Adam with exact gradients from the forward-backward sums."""
+def train(cut: np.ndarray, features: np.ndarray, content: np.ndarray, good: np.ndarray) -> Field:
+    """Maximum likelihood by Adam with exact gradients from the forward-backward sums.
+
+    content: the state of each line; good: the label of each text, by which texts are weighed evenly.
+    """
     n_texts, width = len(cut) - 1, features.shape[1]
     n = np.diff(cut)
     longest = int(n.max())
     owner, place = np.repeat(np.arange(n_texts), n), np.arange(cut[-1]) - np.repeat(cut[:-1], n)
     x = np.zeros((n_texts, longest, width))
     x[owner, place] = features
-    y = np.repeat(content.astype(int)[:, None], longest, 1)
+    y = np.zeros((n_texts, longest), int)
+    y[owner, place] = content
     live = np.arange(longest) < n[:, None]
-    weight = np.where(content, 0.5 / max(content.sum(), 1), 0.5 / max((~content).sum(), 1)) / np.maximum(n, 1)
+    weight = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1)) / np.maximum(n, 1)
     theta = np.zeros(width * 2 + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):
@@ -189,6 +197,17 @@ def train(cut: np.ndarray, features: np.ndarray, content: np.ndarray) -> Field:
     return Field(theta[:-4].reshape(width, 2), theta[-4:].reshape(2, 2))
 
 
+def train_lines(cut: np.ndarray, features: np.ndarray, good: np.ndarray) -> Field:
+    """Train on lines whose labels are corrected by what the field makes of each line alone."""
+    of_text = np.repeat(good, np.diff(cut))
+    field = train(cut, features, of_text, good)
+    for _ in range(TURNS):
+        odds = features @ (field.emit[:, 1] - field.emit[:, 0])
+        content = odds + np.where(of_text, PRIOR, -PRIOR) > 0
+        field = train(cut, features, content, good)
+    return field
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> Field:
     """Train on at most 2 * SAMPLE texts, chosen by a hash of their doc_id."""
     chosen = (
@@ -205,7 +224,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Field:
     if set(known.values()) != {0, 1}:
         width = lines(next(words(pa.array(["a"])))).features.shape[1]
         return Field(np.stack([np.zeros(width), np.eye(width)[0]], 1), np.zeros((2, 2)))
-    beginning = F.concat_ws("\n", F.slice(F.split("text", "\n"), 1, LINES))
+    beginning = F.left(F.concat_ws("\n", F.slice(F.split("text", "\n"), 1, LINES)), F.lit(CHARS))
     texts = dict(
         documents.where(F.col("doc_id").cast("long").isin(list(known)))
         .select(F.col("doc_id").cast("long"), beginning)
@@ -219,7 +238,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Field:
         cuts.extend((found.cut[1:] + at).tolist())
         at += len(found.features)
         kinds.extend(known[i] == 1 for i in order[w.first : w.first + len(w)])
-    return train(np.array(cuts), np.concatenate(parts), np.array(kinds))
+    return train_lines(np.array(cuts), np.concatenate(parts), np.array(kinds))
 
 
 # ------------------------------------------------------------------ figures and verdict
@@ -272,7 +291,7 @@ def verdicts(documents: DataFrame, field: Field, whole_rows: bool = False) -> Da
     With `whole_rows`, a struct `row` of all columns stands in place of doc_id.
     """
     text = F.col("text").cast("string").alias("text")
-    own = F.struct(*documents.columns).alias("row") if whole_rows else F.col("doc_id").cast("long").alias("doc_id")
+    own = packed(documents) if whole_rows else F.col("doc_id").cast("long").alias("doc_id")
     rows = documents.select(own, text)
     schema = T.StructType([rows.schema[0]])
     for c in _FIGURES:

@@ -15,7 +15,8 @@ contraction over written tables.
 
 Defined cases: a null or wordless text has fingerprint zero; an empty table gives an empty result;
 repeated rows each get their row; a null doc_id comes before all others as key and stays null
-as doc_id (its component_id is then the least long). Other columns are ignored.
+as doc_id (its component_id is then the least long). Other columns are ignored, or kept by `one_of_each`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logveil.llm.words import BLANKS, Words, words, released
+from logveil.llm.rows import packed
 from logveil.operators.components import connected_components
 from logveil.scratch import stage
 
@@ -258,12 +260,15 @@ def one_of_each(documents: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     """The documents with the smallest doc_id of their component; equal rows of one id count once."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
     found = near_duplicates(documents, shingle, radius)
-    lowest = found.where(key == F.col("component_id")).select(key.alias("__key")).distinct()
-    same = Window.partitionBy("__key", F.xxhash64("text")).orderBy("__key")
+    lowest = found.where(key == F.col("component_id")).select(key.alias("key")).distinct()
+    same = Window.partitionBy("key", "h1", "h2").orderBy("key")
+    text = F.col("text").cast("string")
     return (
-        documents.withColumn("__key", key)
-        .join(lowest, "__key", "left_semi")
-        .withColumn("__copy", F.row_number().over(same))
-        .where("__copy = 1")
-        .select(*documents.columns)
+        documents.select(
+            key.alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), packed(documents)
+        )
+        .join(lowest, "key", "left_semi")
+        .withColumn("copy", F.row_number().over(same))
+        .where("copy = 1")
+        .select("row.*")
     )

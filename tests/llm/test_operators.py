@@ -1,9 +1,13 @@
 """The training-data operators on small cases: plain versions, and inputs that break things."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,10 +17,13 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from logveil.llm import bpe, chat_format, decontamination, html_text, language_id, line_dedup
-from logveil.llm import near_dedup, quality, simhash_dedup, substring_dedup, token_counts
+from logveil.llm import quality, simhash_dedup, substring_dedup, token_counts
 from logveil.llm.pretokens import Vocabulary
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, row string, block string"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, row string, block string, "
+    "spans string, n_lines string, `a.b` string"
+)
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -41,7 +48,7 @@ def rows():
         13: "\n".join(["x", "c", "d e", "f", "", "", "", ""]), 14: "é ß ñ " * 60, 15: "1234 " * 70,
     }
     made = [(i, t) for i, t in texts.items()] + [(8, " ".join(other)), (None, " ".join(shared))]
-    return [(i, t, "en" if i and i % 2 else None, None, None, "k", "f", "r", "b") for i, t in made]
+    return [(i, t, "en" if i and i % 2 else None, None, None, "k", "f", "r", "b", "s", "l", "d") for i, t in made]
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +97,7 @@ def test_line_dedup(docs):
     assert got[12]["text"] == "a b\nc\nd e\nf" and got[12]["n_removed_lines"] == 8
     assert got[13]["text"] == "x\n\n\n\n" and got[13]["n_lines"] == 8  # three blank lines are no window
     assert got[1]["text"] is None and got[2]["text"] == "" and got[8]["source"] is None
+    assert got[8]["spans"] == "s" and got[8]["a.b"] == "d" and got[8]["n_lines"] == 1
 
 
 def test_simhash(docs, rows):
@@ -150,54 +158,6 @@ def test_large_shards_are_cut_without_losing_links(spark):
     assert roots(pairs) == roots(true)
 
 
-def word_sets(text, shingle=5):
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
-    if len(w) < shingle:
-        return frozenset([tuple(w)] if w else [])
-    return frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1))
-
-
-def first_wins(rows, similarity=0.8):
-    """Places of the rows that stay: no kept one before is similar. A plain double loop."""
-    kept = []
-    for at in sorted(range(len(rows)), key=lambda k: low(rows[k][0])):
-        own = word_sets(rows[at][1])
-        if not any(own == s or own and s and len(own & s) >= similarity * len(own | s) for _, s in kept):
-            kept.append((at, own))
-    return [at for at, _ in kept]
-
-
-@pytest.mark.parametrize("listed", [1 << 17, 0])
-def test_pipeline_near_duplicates_equal_brute_force(spark, docs, rows, monkeypatch, listed):
-    monkeypatch.setattr(near_dedup, "LISTED", listed)
-    monkeypatch.setattr(near_dedup, "SAMPLED", 2)
-    rng = random.Random(11)
-    template = passage(rng, 60)
-    made = [(100 + i, " ".join([*template, *passage(rng, 12)])) for i in range(40)]  # about 0.65 to each other
-    for size in [3, 8, 40, 150, 600] * 4:
-        first = passage(rng, size)
-        for _ in range(8):
-            copy = list(first)
-            for _ in range(rng.randint(0, 1 + len(first) // 60)):
-                copy[rng.randrange(len(copy))] = "changed" + str(rng.randint(0, 9))
-            made.append((rng.randint(200, 10**6), " ".join(copy).upper() if rng.random() < 0.2 else " ".join(copy)))
-    wide = spark.createDataFrame(made, "doc_id long, text string")
-    table = docs.select("doc_id", "text").unionByName(wide)
-    plain = [(i, t) for i, t, *_ in rows] + made
-    got = near_dedup.one_of_each(table)
-    assert got.columns == table.columns
-    got = [tuple(r) for r in got.collect()]
-    expected = [plain[at] for at in first_wins(plain)]
-    assert sorted(i is None and low(i) or i for i, _ in got) == sorted(low(i) for i, _ in expected)
-    parts = {t: word_sets(t) for _, t in plain}
-    similar = [
-        (a, b) for k, (_, a) in enumerate(made) for _, b in made[:k]
-        if parts[a] != parts[b] and len(parts[a] & parts[b]) >= 0.8 * len(parts[a] | parts[b])
-    ]
-    assert len(similar) > 20 and len(expected) < len(plain) - 20
-
-
 # ------------------------------------------------------------------ tokens
 
 
@@ -211,6 +171,8 @@ def test_tokens(spark, docs, vocabulary):
     for r in bpe.decode(bpe.encode(table, vocabulary), vocabulary).collect():
         assert r["ids"] == true[r["doc_id"]]
         assert r["decoded"] == library.decode(r["ids"], skip_special_tokens=False)
+    for r in bpe.round_trip(table, vocabulary).collect():
+        assert r["decoded_sha256"] == sha(library.decode(true[r["doc_id"]], skip_special_tokens=False))
     counts = token_counts.count_tokens(table, vocabulary).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in counts} == {i: len(t) for i, t in true.items()}
 
@@ -247,6 +209,41 @@ def test_decontamination(spark, docs, rows, monkeypatch, block):
     got = [(r[0], r[1], r[2], r[3]) for r in decontamination.find_benchmark(docs, benchmark).collect()]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
     assert decontamination.find_benchmark(docs, benchmark.limit(0)).where("n_hit > 0").isEmpty()
+    kept = decontamination.retained(docs, benchmark)
+    assert kept.columns == docs.columns and {r["a.b"] for r in kept.collect()} == {"d"}
+
+
+def test_a_very_long_item_is_cut_without_losing_windows(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 1 << 19)
+    rng = random.Random(2)
+    long = [f"w{rng.randint(0, 10**7)}" for _ in range(2_000_000)]
+    edge = decontamination.PIECE
+    texts = [(1, " ".join(long[edge - 6 : edge + 7])), (2, " ".join(long[-13:])), (3, " ".join(long[7:19]))]
+    benchmark = spark.createDataFrame([("long", " ".join(long))], "item_id string, text string")
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r[0]: r[2] for r in decontamination.find_benchmark(table, benchmark).collect()}
+    assert got == {1: 13, 2: 13, 3: 0}
+    sizes = [sum(len(p.split()) for _, p in b) for b in decontamination._item_blocks(benchmark)]
+    assert len(sizes) > 3 and max(sizes) <= 1 << 19
+
+
+def test_tasks_need_no_package_on_the_workers(tmp_path):
+    """Workers start without the package in reach: driver code alone must be enough."""
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.insert(0, {str(root)!r})
+from logveil.llm import decontamination, lexical_search
+docs = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id long, text string")
+items = spark.createDataFrame([("a", "two three")], "item_id string, text string")
+assert [r[0] for r in decontamination.retained(docs, items).collect()] == [2]
+assert [r[2] for r in lexical_search.search(docs, items).collect()] == [1]
+"""
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
 
 
 # ------------------------------------------------------------------ quality
@@ -265,6 +262,36 @@ def test_quality(spark, docs, small):
     assert right >= 0.95 * judged.count()
 
 
+def test_lines_of_one_text_get_both_labels(spark):
+    larger = "/root/testdata/sf0.01"
+    given, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
+    found = quality.verdicts(given, quality.fit(given, labels))
+    mixed = found.where("content_share > 0 and content_share < 1").count()
+    assert mixed >= 0.03 * found.count()
+
+
+def test_quality_figures(docs, rows):
+    expected = {}
+    for i, t, *_ in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        spots = defaultdict(list)
+        for at in range(len(w) - 2):
+            spots[tuple(w[at : at + 3])].append(at)
+        again = {at + k for places in spots.values() if len(places) > 1 for at in places for k in range(3)}
+        seen, copies = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                copies += line in seen
+                seen.add(line)
+        symbols = len(re.findall(r"[#*$%&|<>]", t))
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        expected[i] = (len(w), sum(map(len, w)), symbols, copies, len(again), failed)
+    field = quality.Field(np.zeros((12, 2)), np.zeros((2, 2)))
+    for r in quality.verdicts(docs, field).collect():
+        assert (r[1], r[2], r[3], r[4], r[5], r["base_failed"]) == expected[r["doc_id"]]
+
+
 def test_viterbi_finds_the_best_sequence():
     rng = np.random.default_rng(2)
     field = quality.Field(rng.normal(size=(3, 2)), rng.normal(size=(2, 2)))
@@ -410,6 +437,7 @@ def test_empty_tables(spark, none, vocabulary):
         substring_dedup.remove_repeats(none), line_dedup.remove_repeated_lines(none),
         simhash_dedup.near_duplicates(none), simhash_dedup.one_of_each(none), token_counts.count_tokens(none, vocabulary),
         bpe.decode(bpe.encode(none, vocabulary), vocabulary), decontamination.find_benchmark(none, items),
+        decontamination.retained(none, items), bpe.round_trip(none, vocabulary),
         quality.verdicts(none, quality.fit(none, labels)), language_id.predict(none, language_id.fit(none)),
         html_text.main_text(pages), chat_format.read_back(pieces, ["turn", "tie"]),
     ):
