@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm import bpe, decontamination, line_dedup, near_dedup, quality
+from logveil.llm import bpe, decontamination, line_dedup, quality, simhash_dedup
 from logveil.llm.queries import vocabulary
 from logveil.scratch import stage
 
@@ -33,8 +33,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose five-word Jaccard similarity with each kept one of smaller id is under 0.8."""
-    return near_dedup.one_of_each(docs.select(*COLUMNS))
+    """Of each group of fingerprints linked at three bits or fewer, the document with the least id."""
+    return simhash_dedup.one_of_each(docs.select(*COLUMNS), shingle=3, radius=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +46,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): the ids of each text, and a digest of what they decode to."""
     tokens = bpe.round_trip(docs, vocabulary())
-    digest = F.sha2("decoded", 256).alias("decoded_sha256")
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", digest)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup_stage),
-    ("near-duplicates", near_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
     ("decontamination", decontaminate),
     ("encoding", encode),
 ]
