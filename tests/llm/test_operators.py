@@ -392,6 +392,82 @@ def test_pages(spark):
     assert (found == true).all()
 
 
+def texts_of(html):
+    return [t for t, _ in html_text.blocks(html)]
+
+
+def test_articles_are_kept_whole():
+    long = "word " * 40
+    assert texts_of('<main class="content has-sidebar"><p>Real article text here') == ["Real article text here"]
+    assert texts_of('<article><p>One</p><p class="ad">Buy<p>Two<p>Three</article>') == ["One", "Two", "Three"]
+    assert texts_of(f"<form><article><p>{long}</article><input><input></form>") == [long.strip()]
+    assert texts_of(f"<form><p>{long}</p><input></form>") == [long.strip()]
+    assert texts_of("<form><label>Mail</label><p>subscribe now<input></form>x") == ["x"]
+    assert texts_of('<p hidden>no</p><p style="display : none">no<p aria-hidden=true>no<p>yes') == ["yes"]
+    assert texts_of("<div class=share-price>1</div><div class=no-sidebar>2</div><div class=social-history>3</div>") == ["1", "2", "3"]
+    assert texts_of("<div class=site-footer>f</div><div class=comment-list>c</div><div id=ad_slot>a</div>y") == ["y"]
+    assert texts_of("<ul><li class=ad>a<li>b</ul><table><tr><td class=ad>x<td>y</table>") == ["b", "y"]
+    assert texts_of('<div class="modal"><article class="ad">text</article>') == ["text"]
+    assert texts_of('<article>a</article><section class="comments"><article>no</article></section>') == ["a"]
+
+
+def plain_pages(rows):
+    """`main_text` by counting runs of the whole host in a dictionary."""
+    hosts = defaultdict(list)
+    for page_id, url, html in rows:
+        match = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", url or "")
+        hosts[match.group(1).lower() if match else ""].append((page_id, url, html_text.blocks(html)))
+    out = []
+    for pages in hosts.values():
+        standing, ids = defaultdict(set), {i for i, *_ in pages}
+        for page_id, _, own in pages:
+            w = " ".join(t for t, _ in own).split(" ")
+            for k in range(len(w) - 7):
+                standing[tuple(w[k : k + 8])].add(page_id)
+        for page_id, url, own in pages:
+            w = " ".join(t for t, _ in own).split(" ")
+            again, common = set(), set()
+            for k in range(len(w) - 7):
+                n = len(standing[tuple(w[k : k + 8])])
+                again.update(range(k, k + 8) if n > 1 else ())
+                common.update(range(k, k + 8) if n >= max(5, 0.5 * len(ids)) else ())
+            kept, at, declares = [], 0, any(d for _, d in own)
+            for text, declared in own:
+                parts = text.split(" ")
+                here = range(at, at + len(parts))
+                at += len(parts)
+                left = [p for p, k in zip(parts, here) if k not in again]
+                if declares:
+                    left = parts if declared and not set(here) <= common else []
+                if left:
+                    kept.append(" ".join(left))
+            out.append((page_id, url, "\n\n".join(kept or [t for t, d in own if d or not declares])))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("shard", [1 << 22, 900])
+def test_pages_equal_brute_force(spark, shard):
+    """Hosts with and without declared articles, with notices, footers, quotes, copies and odd pages."""
+    rng = random.Random(21)
+    rows = []
+    for host in range(4):
+        notice, footer, quote = (" ".join(passage(rng, n)) for n in (11, 9, 14))
+        for i in range(30):
+            parts = [" ".join(passage(rng, rng.randint(2, 40))) for _ in range(rng.randint(1, 3))]
+            if rng.random() < 0.7:
+                parts.insert(rng.randint(0, len(parts)), notice)
+            if rng.random() < 0.1:
+                parts.append(quote)
+            body = "".join(f"<p>{p}" for p in parts)
+            declared = host == 0 or host < 3 and rng.random() < 0.5
+            page = f"<article>{body}</article>" if declared else f"<div>{body}</div>"
+            rows.append((100 * host + i, f"https://h{host}.x/{i}", f"<nav>menu</nav>{page}<p>{footer}</p>"))
+    rows += [(7, "https://h0.x/7", rows[7][2]), (None, "https://h3.x/", rows[100][2]), (900, None, None), (901, "https://h1.x", "a b c")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_text.main_text(table, shard)
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_pages(rows)
+
+
 def notice_pages():
     """Forty declared pages of one host: a notice in each, a passage quoted on three, and their own words."""
     rng = random.Random(9)
