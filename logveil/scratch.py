@@ -24,11 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write `df` once and return a DataFrame that reads the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/logveil/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
