@@ -455,7 +455,7 @@ def main_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
         url.alias("url"),
         F.col("html").cast("string").alias("html"),
     )
-    parsed = stage(rows.mapInArrow(released(_parse), _PARSED), "blocks")
+    parsed = stage(rows.mapInArrow(released(_parse), _PARSED), "blocks", "zstd")
     size = F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.octet_length(t) + 1)
     large = stage(
         parsed.groupBy("host")
