@@ -31,7 +31,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logveil.llm.words import Words, covered, released, windows, words
@@ -259,6 +259,11 @@ _PARSED = "host string, page bigint, page_id bigint, url string, texts array<str
 _NO_ID = -(1 << 63)
 
 
+def _lines() -> Column:
+    """The blocks of a page as lines of one string, which is shorter to send than an array; blocks hold no newline."""
+    return F.array_join("texts", "\n").alias("lines")
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages as their blocks; a slice of whole pages at a time."""
     for batch in batches:
@@ -322,6 +327,7 @@ def _hosts(batches: Iterator[pa.RecordBatch], handle: Callable) -> Iterator[pa.R
                 yield handle(rows)
                 rows = []
             key = (row["host"], row["shard"])
+            row["texts"] = row["lines"].split("\n") if row["lines"] else []
             rows.append(row)
     if rows:
         yield handle(rows)
@@ -406,7 +412,7 @@ def _cut_hosts(parsed: DataFrame, large: DataFrame) -> DataFrame:
     cut = parsed.join(large, "host")
     shards = (
         cut.withColumn("shard", F.pmod(F.xxhash64("page"), F.col("parts")).cast("int"))
-        .select("host", "shard", "page", "texts")
+        .select("host", "shard", "page", _lines())
         .repartition("host", "shard")
         .sortWithinPartitions("host", "shard")
     )
@@ -470,7 +476,7 @@ def main_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     )
     whole = (
         parsed.join(large, "host", "left_anti")
-        .withColumn("shard", F.lit(0))
+        .select("host", F.lit(0).alias("shard"), "page", "page_id", "url", "declared", _lines())
         .repartition("host")
         .sortWithinPartitions("host")
         .mapInArrow(released(_extract), "page_id bigint, url string, text string")
