@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from logveil.operators.ranks import numbered
 from logveil.schema import LOG_RECORD
+from logveil.scratch import stage
+from logveil.sources import arrays
 
 # Names under which an envelope may hold its records, first match wins.
 ENVELOPE_NAMES = ("logs", "records", "data", "results")
@@ -71,12 +73,21 @@ def _array_members(content: str) -> Iterator[tuple[str, bool]]:
 def array_members(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, record_json, ok) for files that each hold one JSON array.
 
-    Files are read side by side, members leave the task one batch at a time. One array cannot
-    be split, so large logs should be kept as JSON lines or Parquet.
+    Files are cut into byte ranges that are read side by side (see `arrays`). Only what does not begin
+    like an array is read as a whole, to tell a broken log from something that is no log.
     """
-    files = spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("file"),
-        F.regexp_replace(decoded(F.col("content")), "^﻿", "").alias("text"),
+    found, begun = arrays.members(spark, path)
+    others = stage(file_names(spark, path).join(begun, "file", "left_anti"), "other-files")
+    if others.isEmpty():
+        return found
+    files = (
+        spark.read.format("binaryFile")
+        .load(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.regexp_replace(decoded(F.col("content")), "^﻿", "").alias("text"),
+        )
+        .join(others, "file", "left_semi")
     )
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +101,12 @@ def array_members(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=["file", "pos", "record_json", "ok"])
 
-    return files.mapInPandas(split, "file string, pos bigint, record_json string, ok boolean")
+    whole = files.mapInPandas(split, "file string, pos bigint, record_json string, ok boolean")
+    return found.unionByName(whole)
+
+
+def file_names(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
 
 
 def decoded(content: Column) -> Column:
@@ -128,8 +144,7 @@ def parsed(rows: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
 def read_array_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON-array files in file and array order, broken members left out."""
     members = array_members(spark, path).where("ok")
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
-    order = numbered(files, [], ["file"], "file_no")
+    order = numbered(file_names(spark, path), [], ["file"], "file_no")
     return with_event_time(
         parsed(
             members.join(order, "file").select(
