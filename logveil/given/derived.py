@@ -124,6 +124,31 @@ def judged_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_category_results(category_payloads(valid), examples, verdicts(spark, sf_dir))
 
 
+def with_examples(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
+    """Results with a verdict per sampled example, as a judge lists them: the start of its text and the stored verdict."""
+    valid = valid_log(spark, sf_dir)
+    examples = sampled_examples(valid, scored_detections(valid)).select("tenant_id", "category", "sample_rank", "seq")
+    texts = valid.select("tenant_id", "seq", F.left("input_text", F.lit(130)).alias("text"))
+    listed = (
+        examples.join(texts, ["tenant_id", "seq"])
+        .join(verdicts(spark, sf_dir), "seq", "left")
+        .groupBy("tenant_id", "category")
+        .agg(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("sample_rank", "text", "verdict"))),
+                lambda e: F.struct(
+                    e["text"].alias("input_snippet"),
+                    F.lit(None).cast("string").alias("flagged_entity"),
+                    e["sample_rank"].cast("string").alias("entity_subcategory"),
+                    e["verdict"].alias("verdict"),
+                    F.lit("").alias("reason"),
+                ),
+            ).alias("per_example_verdicts")
+        )
+    )
+    return results.drop("per_example_verdicts").join(listed, ["tenant_id", "category"])
+
+
 def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` read as runs: one mode per user, errors as failed runs, windows of 72 hours."""
     return table(spark, sf_dir, "events").select(

@@ -354,7 +354,22 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS p
     "judge_requests": "SELECT doc_id, 'Judge ' || coalesce(source, '') || ' in ' || coalesce(nullif(lang, 'fr'), '') || ': {\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}' AS request FROM documents",
     "cluster_payloads": f"WITH d AS (SELECT substr(source, 4) AS cluster_id, nullif({STAMP}, '') AS stamp FROM documents) SELECT cluster_id, count(*) AS message_count, min(stamp) AS date_from, max(stamp) AS date_to, 10 AS n_keywords, least(5, count(*)) AS n_representatives FROM d GROUP BY 1",
     "judge_attempts": f"WITH {LOG}{PROFILE} SELECT tenant_id, category, least(3, 1 + length(category) % 4) AS attempts, length(category) % 4 <= 2 AS judged FROM profile",
-    "audit_trail": f"WITH {LOG}{PROFILE} SELECT 'fp_category' AS event, tenant_id, category, dominant_detection_type AS dominant_type, total_detections, least(8, total_detections) AS samples_shown, round_even(mean_prior, 3) AS mean_fp_prior FROM profile",
+    "audit_trail": f"""WITH {LOG}{RESULTS}, j AS (SELECT tenant_id, count(*) AS n, count(*) FILTER (ord = 0) AS h FROM ranked GROUP BY 1),
+calls AS (SELECT tenant_id, category, length(category) % 4 AS late, unnest(range(1, least(3, 1 + length(category) % 4) + 1)) AS attempt,
+  '{{"category":"' || category || '","total_detections":' || total_detections || '}}' AS request FROM profile),
+sources AS (SELECT substr(source, 4) AS cluster_id, count(*) AS n FROM documents GROUP BY 1)
+SELECT 'fp_category' AS event, tenant_id, category AS name, total_detections AS n, dominant_detection_type AS note, least(8, total_detections)::BIGINT AS more, NULL AS asked, round_even(mean_prior, 3) AS mean_fp_prior FROM profile
+UNION ALL SELECT 'run_start', tenant_id, 'fp', total_messages, messages_with_existing_detection::VARCHAR, 7, NULL, NULL FROM counts
+UNION ALL SELECT 'run_end', tenant_id, 'fp', coalesce(n, 0), CASE WHEN messages_with_existing_detection = 0 THEN 'no_detected' ELSE 'ok' END, coalesce(h, 0), NULL, NULL FROM counts LEFT JOIN j USING (tenant_id)
+UNION ALL SELECT 'llm_call', tenant_id, category, attempt, CASE WHEN attempt > late THEN 'ok' ELSE 'no_json_in_response' END, 1, md5(request || CASE WHEN attempt > late THEN ' {{}} {{}}' ELSE ' not yet' END), NULL FROM calls
+UNION ALL SELECT 'cluster_built', 'all', cluster_id, n, 'k' || cluster_id, NULL, NULL, NULL FROM sources
+UNION ALL SELECT 'cluster_summary', 'all', 'given', sum(n)::BIGINT, count(*)::VARCHAR, 0, NULL, NULL FROM sources""",
+    "saved_runs": f"""WITH {LOG}{RESULTS}, {CLUSTERS}
+SELECT 'r1' AS run_id, 'intent' AS mode, tenant_id, place::INT AS rank, cluster_id, source_name AS name, message_count AS n, epoch_us(TIMESTAMP '2024-02-01 02:00:00') AS finished FROM clusters WHERE sensitive
+UNION ALL SELECT 'r1', 'fp', tenant_id, rank::INT, NULL, category, total_detections, epoch_us(TIMESTAMP '2024-02-01 02:00:00') FROM ranked WHERE ord <= 1""",
+    "explorer_options": f"""WITH {LOG}{RESULTS}, e AS (SELECT s.tenant_id, s.category, row_number() OVER (PARTITION BY s.tenant_id, s.category ORDER BY s.sample_rank) - 1 AS example, s.sample_rank, s.seq, l.doc_id AS known, l.quality FROM sample s LEFT JOIN labels l ON l.doc_id = s.seq)
+SELECT r.tenant_id, r.category, r.ord AS option, e.example AS place, left(input_text, 100) AS snippet, '—' AS flagged_entity, e.sample_rank::VARCHAR AS subcategory, CASE WHEN e.known IS NULL THEN '—' WHEN e.quality = 0 THEN 'TP' WHEN e.quality = 1 THEN 'FP' ELSE 'UNCERTAIN' END AS verdict, '—' AS reason
+FROM ranked r JOIN e ON e.tenant_id = r.tenant_id AND e.category = r.category JOIN base b ON b.seq = e.seq""",
     "category_payloads": f"""WITH {LOG}{PROFILE} SELECT p.tenant_id, p.category, p.dominant_detection_type, p.total_detections, least(8, p.total_detections) AS samples_shown, s.sample_rank - 1 AS place, s.score, length(v.input_text) > 1200 AS truncated, s.seq || ':' || s.name AS id, s.raw AS detection_type, s.n_entities, s.n_distinct_entities AS n_subtypes
 FROM profile p JOIN sample s ON s.tenant_id = p.tenant_id AND s.category = p.category JOIN valid v ON v.seq = s.seq""",
     "verdict_tallies": f"WITH {LOG}{RESULTS} SELECT tenant_id, category, n_fp AS estimated_fp_count_in_sample, n_tp AS estimated_tp_count_in_sample, n_unc AS n_uncertain, round(rate, 6) AS estimated_fp_rate, round(decided, 6) AS fp_rate_confidence, verdict AS overall_assessment, total_detections AS total_detections_in_period, fp_total AS estimated_fp_count_total, tp_total AS estimated_tp_count_total FROM ranked",

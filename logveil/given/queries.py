@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,9 +24,11 @@ from logveil.operators import (
     payloads,
 )
 from logveil.plans import explorer, false_positives, intent, reports
+from logveil.plans.audit import Audit, fp_outcomes
 from logveil.schema import CATEGORY_VERDICT
 from logveil.scratch import shared_folder, spread, stage
 from logveil.sources import ledger, readers, writers
+from logveil.sources.run_store import RunStore
 from logveil.streaming.ingest import ingest
 from logveil.streaming.windows import detection_rate_by_window
 
@@ -446,19 +448,40 @@ def judge_attempts(spark, sf_dir):
 
 
 def audit_trail(spark, sf_dir):
-    """Audit events of the category payloads, appended to the trail and read back."""
-    built = payloads.category_payloads(derived.valid_log(spark, sf_dir))
-    path = f"{shared_folder(spark)}/logveil/audit_{uuid4().hex}"
-    writers.append_audit(writers.fp_category(built, FIXED_RUN), path)
-    return spark.read.json(path).select(
+    """All events of a run appended to its trail and read back: both ends, calls, clusters, categories."""
+    trail = Audit(f"{shared_folder(spark)}/logveil/audit_{uuid4().hex}", FIXED_RUN)
+    counts = stage(reports.message_counts(landed_log(spark, sf_dir)), "counts")
+    built = stage(payloads.category_payloads(derived.valid_log(spark, sf_dir)), "payloads")
+    keys, shown = detections.CATEGORY, F.struct("category", "total_detections")
+    requests = stage(built.select(*keys, judging.request_text("{payload}", shown).alias("request")), "requests")
+    trail.run_start(counts, "fp", 7)
+    _, calls = judge.ask(requests, keys, _late_judge, CATEGORY_VERDICT, 3500)
+    trail.judge_calls(calls, requests, keys, "fp")
+    trail.categories(built)
+    labels = derived.cleaned_documents(spark, sf_dir).select("tenant_id", "seq", "label")
+    shapes = clustering.cluster_sizes(labels).select(
+        "*",
+        F.array(F.concat(F.lit("k"), c("cluster_id"))).alias("top_keywords"),
+        F.array(F.lit("text")).alias("representative_messages"),
+    )
+    trail.clusters(shapes, labels, "given")
+    trail.run_end(fp_outcomes(counts, derived.judged_categories(spark, sf_dir)), "fp")
+    asked = F.concat_ws(" ", c("request"), c("reply"), c("parsed"))
+    return spark.read.json(trail.path).select(
         "event",
         "tenant_id",
-        "category",
-        "dominant_type",
-        "total_detections",
-        "samples_shown",
+        F.coalesce("category", "cluster_id", "algorithm", "mode").alias("name"),
+        F.coalesce(
+            "total_detections", "message_count", "n_messages", "total_records", "categories_analyzed", "attempt"
+        ).alias("n"),
+        F.coalesce(
+            "dominant_type", c("keywords")[0], F.size("label_counts").cast("string"), c("detected_count").cast("string"),
+            "status", "outcome",
+        ).alias("note"),
+        F.coalesce("samples_shown", "max_judged", "high_fp", "n_noise", F.when(c("latency_ms") >= 0, 1)).alias("more"),
+        F.when(c("event") == "llm_call", F.md5(asked)).alias("asked"),
         "mean_fp_prior",
-    )
+    )
 
 
 def action_required(spark, sf_dir):
@@ -603,6 +626,14 @@ def explorer_categories(spark, sf_dir):
     return explorer.category_table(derived.judged_categories(spark, sf_dir))
 
 
+def explorer_options(spark, sf_dir):
+    """The categories to choose from with their place, and the first example verdict of each."""
+    results = derived.judged_categories(spark, sf_dir)
+    options = explorer.category_options(results).withColumnRenamed("place", "option")
+    shown = explorer.verdict_table(derived.with_examples(spark, sf_dir, results))
+    return options.join(shown, ["tenant_id", "category"])
+
+
 # -------------------------------------------------------------- sources and runs
 
 
@@ -696,6 +727,34 @@ def report_roundtrip(spark, sf_dir):
     return back.select("tenant_id", "rank", "category", "assessment", "total_detections")
 
 
+def saved_runs(spark, sf_dir):
+    """Both reports saved as one run, after a try that failed half way and one that is replaced, and read back."""
+    store = RunStore(f"{shared_folder(spark)}/logveil/store_{uuid4().hex}")
+    log = landed_log(spark, sf_dir)
+    found = stage(derived.judged_categories(spark, sf_dir), "results")
+    fp = reports.fp_report(log, found)
+    clusters = reports.suggestions(stage(derived.judged_clusters(spark, sf_dir), "results"))
+    start, end = readers.window_bounds(FIXED_RUN)
+    store.begin("r1").write_report("fp", fp.summary, {"action_required": fp.actions}, FIXED_RUN)  # never committed
+    for run, hours, rows in (("r1", 1, fp.actions.limit(0)), ("r1", 2, fp.actions)):
+        attempt = store.begin(run)
+        attempt.write_report("fp", fp.summary, {"action_required": rows}, FIXED_RUN)
+        attempt.write_report("intent", fp.summary, {"suggestions": clusters}, FIXED_RUN)
+        attempt.commit(spark, start, end, end + timedelta(hours=hours), [("intent", "ok", None), ("fp", "ok", None)])
+    fields = "suggestions array<struct<rank:int,cluster_id:string,intent_name:string,message_count_in_cluster:bigint>>"
+    nested = store.read(spark, "intent_documents").select("run_id", "tenant_id", F.from_json("document", fields).alias("d"))
+    suggested = nested.select("run_id", "tenant_id", F.inline("d.suggestions")).select(
+        "run_id", F.lit("intent").alias("mode"), "tenant_id", "rank", "cluster_id",
+        c("intent_name").alias("name"), c("message_count_in_cluster").alias("n"),
+    )
+    tuned = store.read(spark, "fp_action_required").select(
+        "run_id", F.lit("fp").alias("mode"), "tenant_id", "rank", F.lit(None).cast("string").alias("cluster_id"),
+        c("category").alias("name"), c("total_detections").alias("n"),
+    )
+    runs = store.ledger(spark).select("run_id", "mode", _micros(c("finished_ts")).alias("finished"))
+    return suggested.unionByName(tuned).join(runs, ["run_id", "mode"])
+
+
 def intent_job(spark, sf_dir):
     """The whole intent analysis up to ranked suggestions, with a stored verdict per cluster."""
     log = landed_log(spark, sf_dir)
@@ -763,7 +822,7 @@ QUERIES = {
         fp_summary, suggestions, sensitive_rate, cluster_order, cluster_conformance,
         category_conformance, explorer_overview, explorer_value_counts, explorer_suggestions,
         explorer_cards, explorer_clusters, explorer_scatter, explorer_actions, explorer_drilldown,
-        explorer_categories, window_read, envelope_unwrap, tenant_preflight, coverage_audit,
-        next_due, last_run, array_log, stream_intake, report_roundtrip, intent_job, fp_job,
+        explorer_categories, explorer_options, window_read, envelope_unwrap, tenant_preflight, coverage_audit,
+        next_due, last_run, array_log, stream_intake, report_roundtrip, saved_runs, intent_job, fp_job,
     )
 }

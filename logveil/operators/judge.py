@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -25,22 +26,24 @@ BUDGET_STEPS = (1.0, 1.5, 2.0)
 def _guarded(judge: Judge, keys: list[str]) -> Judge:
     """`judge`, one batch at a time; a row it raises on or leaves out is a failed call.
 
-    What a batch gave before it raised is kept, so no answered question is asked again.
+    What a batch gave before it raised is kept, so no answered question is asked again. Rows get the time
+    from the call to the answer they came in.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            open_keys = frame[keys].copy()
+            open_keys, begun = frame[keys].copy(), time.perf_counter()
+            took = lambda: round(1000 * (time.perf_counter() - begun), 1)  # noqa: B023, E731
             try:
                 for answers in judge(iter([frame])):
                     seen = answers[keys].drop_duplicates()
                     marked = open_keys.merge(seen, on=keys, how="left", indicator=True)
                     open_keys = marked.loc[marked["_merge"] == "left_only", keys]
-                    yield answers
+                    yield answers.assign(latency_ms=took())
             except Exception:
                 logging.getLogger(__name__).exception("the judge failed on %d rows", len(open_keys))
             if len(open_keys):
-                yield open_keys.assign(reply=None, finish_reason="error")
+                yield open_keys.assign(reply=None, finish_reason="error", latency_ms=took())
 
     return run
 
@@ -63,6 +66,7 @@ def ask(
     reply_schema = T.StructType(
         [requests.schema[k] for k in keys]
         + [T.StructField("reply", T.StringType()), T.StructField("finish_reason", T.StringType())]
+        + [T.StructField("latency_ms", T.DoubleType())]
     )
     asked = requests.select(*keys, "request")
     log, good = [], []
@@ -88,7 +92,8 @@ def ask(
             ),
             "replies",
         )
-        log.append(answered.drop("verdict", "found"))
+        parsed = F.when(F.col("outcome") == "ok", F.to_json("verdict"))
+        log.append(answered.withColumn("parsed", parsed).drop("verdict", "found"))
         good.append(answered.where("outcome = 'ok'").select(*keys, "verdict"))
         asked = asked.join(good[-1].select(*keys), keys, "left_anti")
         if attempt < attempts and asked.isEmpty():

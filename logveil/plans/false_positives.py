@@ -60,7 +60,7 @@ def judge_categories(
             settings.judge_attempts,
         )
         if audit:
-            audit.judge_calls(attempts)
+            audit.judge_calls(attempts, requests, CATEGORY, "fp")
         found = with_payload(verdicts.select(*CATEGORY, "verdict.*"), payloads)
         return (
             payloads.select(*CATEGORY, "rank")
@@ -72,11 +72,17 @@ def judge_categories(
 
 
 def stored_categories(valid: DataFrame, verdicts: DataFrame, settings: Settings = Settings()) -> Results:
-    """Judging by a table of verdicts per message over the sampled examples."""
+    """Judging by a table of verdicts per message over the sampled examples.
+
+    The samples are drawn once and written; every wave of categories is joined with them.
+    """
+    drawn: list[DataFrame] = []
 
     def run(payloads: DataFrame) -> DataFrame:
-        examples = sampled_examples(valid, scored_detections(valid, settings), settings)
-        found = stored_category_results(payloads, examples.drop("example"), verdicts)
+        if not drawn:
+            examples = sampled_examples(valid, scored_detections(valid, settings), settings)
+            drawn.append(stage(examples.drop("example"), "samples"))
+        found = stored_category_results(payloads, drawn[0], verdicts)
         return (
             payloads.select(*CATEGORY, "rank")
             .join(found.withColumn("ok", F.lit(True)), CATEGORY)
@@ -112,5 +118,5 @@ def run_false_positives(
         return FalsePositiveRun(status, category_payloads(valid, settings, 1), None)
     payloads = stage(category_payloads(valid, settings), "payloads")
     judged = ask_with_quota(ranked_payloads(payloads), max_categories, judge)
-    results = judged.where("ok").drop("ok", "rank")
+    results = stage(judged.where("ok").drop("ok", "rank"), "results")
     return FalsePositiveRun(status, payloads, fp_report(records, results))

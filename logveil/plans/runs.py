@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from logveil.config import Settings
-from logveil.plans.audit import Audit
+from logveil.plans.audit import FAILED, OK, Audit, failed, fp_outcomes, intent_outcomes
 from logveil.plans.false_positives import FalsePositiveRun, run_false_positives
 from logveil.plans.intent import IntentRun, run_intent
+from logveil.plans.reports import message_counts
 from logveil.scratch import stage
 from logveil.sources.readers import (
     read_array_log,
@@ -21,6 +23,7 @@ from logveil.sources.readers import (
     require_tenants,
     window_bounds,
 )
+from logveil.sources.run_store import AUDIT, RunStore
 
 log = logging.getLogger(__name__)
 
@@ -74,21 +77,72 @@ def run_both(
     **intent_options,
 ) -> BothRuns:
     """Both analyses over one read; when the first fails the second still runs."""
-    spark, intent, problem = records.sparkSession, None, None
+    intent, problem = None, None
+    counts = stage(message_counts(records), "counts") if audit else None
     if audit:
-        audit.run_start(spark, "intent")
+        audit.run_start(counts, "intent", max_clusters)
     try:
         intent = run_intent(records, intent_judge, max_clusters, settings, **intent_options)
         if audit:
             audit.clusters(intent.payloads, intent.labels, settings.clustering)
+            results = intent.report.results if intent.report else None
+            audit.run_end(intent_outcomes(counts, intent.cleaned, results, settings.min_samples), "intent")
     except Exception as error:  # noqa: BLE001 - reported to the caller
         log.error("intent analysis failed: %s", error)
-        problem = str(error)
-    if audit:
-        audit.run_end(spark, "intent", "failed" if problem else "ok")
-        audit.run_start(spark, "fp")
-    fp = run_false_positives(records, fp_judge, max_categories, settings)
+        problem, intent = str(error), None
+        if audit:
+            audit.run_end(failed(counts, problem), "intent")
     if audit:
-        audit.categories(fp.payloads)
-        audit.run_end(spark, "fp", "ok")
+        audit.run_start(counts, "fp", max_categories)
+    try:
+        fp = run_false_positives(records, fp_judge, max_categories, settings)
+        if audit:
+            audit.categories(fp.payloads)
+            audit.run_end(fp_outcomes(counts, fp.report.results if fp.report else None), "fp")
+    except Exception as error:
+        if audit:
+            audit.run_end(failed(counts, str(error)), "fp")
+        raise
     return BothRuns(intent, problem, fp)
+
+
+def run_and_save(
+    records: DataFrame,
+    store: RunStore,
+    run_id: str,
+    start: datetime,
+    end: datetime,
+    clock: Callable[[], datetime],
+    judges: Callable[[Audit], tuple] = lambda audit: (None, None),
+    max_clusters: int | None = None,
+    max_categories: int | None = None,
+    settings: Settings = Settings(),
+    **intent_options,
+) -> BothRuns:
+    """Both analyses with their reports, audit trail and ledger rows, visible together or not at all.
+
+    `judges` gets the audit trail of the run and gives the judges of the two analyses. Judged rows are
+    written once, and the reports are made from them.
+    """
+    spark, attempt = records.sparkSession, store.begin(run_id)
+    audit = Audit(attempt.path(AUDIT), clock())
+    intent_judge, fp_judge = judges(audit)
+    both = run_both(
+        records, intent_judge, fp_judge, max_clusters, max_categories, settings, audit, **intent_options
+    )
+    attempt.tables.append(AUDIT)
+    at = audit.at
+    if both.intent:
+        attempt.write("intent_status", both.intent.status)
+        attempt.write("intent_payloads", both.intent.payloads)
+        if report := both.intent.report:
+            children = {"existing_detections": report.existing, "suggestions": report.suggestions}
+            attempt.write_report("intent", report.summary, children, at)
+            attempt.write("intent_results", report.results)
+    attempt.write("fp_payloads", both.false_positives.payloads)
+    if report := both.false_positives.report:
+        attempt.write_report("fp", report.summary, {"action_required": report.actions}, at)
+        attempt.write("fp_results", report.results)
+    modes = [("intent", FAILED if both.intent_error else OK, both.intent_error), ("fp", OK, None)]
+    attempt.commit(spark, start, end, clock(), modes)
+    return both

@@ -81,3 +81,14 @@ RUN_LEDGER = _struct(
     mode=S,
     status=S,
 )
+
+# one visible run: its attempt, the tables it wrote, and how each of its analyses ended
+MANIFEST = _struct(
+    run_id=S,
+    attempt=S,
+    tables=T.ArrayType(S),
+    modes=T.ArrayType(_struct(mode=S, status=S, error=S)),
+    start_ts=T.TimestampType(),
+    end_ts=T.TimestampType(),
+    finished_ts=T.TimestampType(),
+)

@@ -98,8 +98,13 @@ def cluster_built(payloads: DataFrame, at: datetime) -> DataFrame:
     )
 
 
-def cluster_summary(summary: DataFrame, algorithm: str, at: datetime) -> DataFrame:
-    return audit_event(summary.withColumn("algorithm", F.lit(algorithm)), "cluster_summary", at)
+def cluster_summary(summary: DataFrame, sizes: DataFrame, algorithm: str, at: datetime) -> DataFrame:
+    """How many messages each label has, as a list, besides the figures of the clustering."""
+    counts = sizes.groupBy("tenant_id").agg(
+        F.sort_array(F.collect_list(F.struct("label", "message_count"))).alias("label_counts")
+    )
+    full = summary.join(counts, "tenant_id").withColumn("algorithm", F.lit(algorithm))
+    return audit_event(full, "cluster_summary", at)
 
 
 def fp_category(payloads: DataFrame, at: datetime) -> DataFrame:
@@ -118,17 +123,35 @@ def fp_category(payloads: DataFrame, at: datetime) -> DataFrame:
     )
 
 
-def judge_calls(attempts: DataFrame, at: datetime) -> DataFrame:
+def judge_calls(attempts: DataFrame, requests: DataFrame, keys: list[str], context: str, at: datetime) -> DataFrame:
+    """Each call with what was asked, what came back and what was read out of it."""
     return audit_event(
-        attempts.withColumn("parsed_ok", F.col("outcome") == "ok"), "llm_call", at
+        attempts.join(requests.select(*keys, "request"), keys)
+        .withColumn("context", F.lit(context))
+        .withColumn("parsed_ok", F.col("outcome") == "ok"),
+        "llm_call",
+        at,
     )
 
 
-def run_event(
-    spark: SparkSession, event: str, mode: str, status: str | None, at: datetime
-) -> DataFrame:
-    row = spark.createDataFrame([(mode, status)], "mode string, status string")
-    return audit_event(row, event, at)
+def run_started(counts: DataFrame, mode: str, limit: int | None, at: datetime) -> DataFrame:
+    """One row per tenant: what the analysis has to work on, and the most it will judge."""
+    return audit_event(
+        counts.select(
+            "tenant_id",
+            F.lit(mode).alias("mode"),
+            F.col("total_messages").alias("total_records"),
+            F.col("messages_with_existing_detection").alias("detected_count"),
+            F.lit(limit).cast("int").alias("max_judged"),
+        ),
+        "run_start",
+        at,
+    )
+
+
+def run_ended(outcomes: DataFrame, mode: str, at: datetime) -> DataFrame:
+    """One row per tenant of (tenant_id, status, and figures of how far the analysis came)."""
+    return audit_event(outcomes.withColumn("mode", F.lit(mode)), "run_end", at)
 
 
 def append_audit(events: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 import json
 import sys
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -14,7 +14,8 @@ from logveil.given.records import landed_log, verdicts
 from logveil.operators.filters import valid_records
 from logveil.plans import false_positives, intent, runs
 from logveil.plans.audit import Audit
-from logveil.sources import writers
+from logveil.sources import ledger, writers
+from logveil.sources.run_store import Attempt, RunStore
 from logveil.sources.readers import window_bounds
 from logveil.operators import embedding
 
@@ -63,6 +64,15 @@ def test_both_analyses(spark, log, tmp_path):
     )
     events = {r["event"]: r["count"] for r in spark.read.json(trail.path).groupBy("event").count().collect()}
     assert set(events) == {"run_start", "run_end", "llm_call", "cluster_built", "cluster_summary", "fp_category"}
+    trail_rows = spark.read.json(trail.path)
+    calls = trail_rows.where("event = 'llm_call'").select("context", "request", "reply", "parsed", "latency_ms").collect()
+    assert {r["context"] for r in calls} == {"intent", "fp"}
+    assert all(r["request"] and r["reply"] and r["parsed"].startswith("{") and r["latency_ms"] >= 0 for r in calls)
+    ends = {(r["mode"], r["tenant_id"]): r for r in trail_rows.where("event = 'run_end'").collect()}
+    assert {r["status"] for r in ends.values()} <= {"ok", "too_few_messages", "no_undetected", "no_detected"}
+    assert ends["intent", "en"]["clusters_analyzed"] == 2
+    labels = trail_rows.where("event = 'cluster_summary' and tenant_id = 'en'").first()
+    assert sum(x["message_count"] for x in labels["label_counts"]) == labels["n_messages"]
     assert events["cluster_built"] == both.intent.payloads.count()
     report = both.intent.report
     counts = report.results.groupBy("tenant_id").count().collect()
@@ -85,6 +95,45 @@ def test_both_analyses(spark, log, tmp_path):
     assert writers.report_rows(writers.read_report(spark, path), "action_required").count() == len(got)
 
 
+def test_runs_are_saved_whole_or_not_at_all(spark, log, tmp_path, monkeypatch):
+    store, settings = RunStore(str(tmp_path / "store")), Settings(eps=0.6)
+    hours = iter(range(1, 100))
+    clock = lambda: datetime(2024, 1, 1) + timedelta(hours=next(hours))
+    judges = lambda audit: (
+        intent.judge_clusters("{payload}", sensitive_judge, settings, audit),
+        false_positives.judge_categories("{category} {det_type} {payload}", fp_judge, settings, audit),
+    )
+
+    def save(run_id):
+        at = datetime(2024, 1, 1)
+        return runs.run_and_save(log, store, run_id, at - timedelta(hours=72), at, clock, judges, settings=settings)
+
+    plain = Attempt.write
+
+    def killed(self, table, rows):
+        if table == "fp_summary":
+            raise KeyboardInterrupt
+        return plain(self, table, rows)
+
+    monkeypatch.setattr(Attempt, "write", killed)
+    with pytest.raises(KeyboardInterrupt):
+        save("a")
+    assert store.read(spark, "intent_suggestions") is None and store.ledger(spark).isEmpty()
+    monkeypatch.setattr(Attempt, "write", plain)
+    both = save("a")
+    save("a")
+    assert store.read(spark, "intent_suggestions").count() == both.intent.report.suggestions.count() > 0
+    documents = store.read(spark, "fp_documents").collect()
+    assert {r["run_id"] for r in documents} == {"a"} and any("action_required" in r["document"] for r in documents)
+    assert store.read(spark, "audit").where("event = 'run_end'").select("run_id", "mode").distinct().count() == 2
+    done = store.ledger(spark)
+    assert sorted((r["mode"], r["status"]) for r in done.collect()) == [("fp", "ok"), ("intent", "ok")]
+    assert ledger.last_success(done).first()["last_run"] is not None
+    assert store.expire(spark, datetime.now() + timedelta(hours=1)) == 2
+    assert store.expire(spark, datetime.now() + timedelta(hours=1)) == 0
+    assert store.read(spark, "fp_action_required").count() == both.false_positives.report.actions.count()
+
+
 def test_failed_intent_does_not_stop_the_other(log):
     def broken(messages):
         raise RuntimeError("no model")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from logveil.operators import filters
 from logveil.plans import runs
-from logveil.sources import ledger, readers, writers
+from logveil.plans.audit import fp_outcomes
+from logveil.sources import arrays, ledger, readers, writers
 from logveil.streaming.ingest import ingest
 
 
@@ -40,6 +41,77 @@ def test_encodings(spark, tmp_path):
     assert got == [{"t": "a�b"}] and skipped == 0
 
 
+@pytest.fixture
+def tiny_splits(spark):
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ["90", "1"]):
+        spark.conf.set(k, v)
+    yield
+    for k, v in zip(keys, before):
+        spark.conf.set(k, v)
+
+
+def arrays_of_all_kinds():
+    """Sound and broken arrays whose strings are full of marks; splits fall everywhere."""
+    rng = random.Random(12)
+    parts = ["}", "{", "]", "[", ",", '"', "'", "\\", "\n", "é", "x", "it's", "中"]
+
+    def value(depth=0):
+        kind = rng.randrange(7 if depth < 3 else 4)
+        if kind < 3:
+            return "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        if kind == 3:
+            return rng.choice([1, -2.5, None, True])
+        if kind == 4:
+            return [value(depth + 1) for _ in range(rng.randint(0, 3))]
+        return {f"k{i}": value(depth + 1) for i in range(rng.randint(0, 3))}
+
+    out = ["[]", " [ ] \n", "[1, \"a\", [2, {}], null]", "\n\t[{}]", '[{"a": 1}', '[{"a": 1}]x', "[{}, ]", "[{}],[{}]", "[{'a': \"}\"}, {\"b\": 1}]"]
+    for _ in range(14):
+        sound = json.dumps([value() for _ in range(rng.randint(1, 9))], ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        out.append(sound)
+        at = rng.randrange(1, len(sound))
+        out.append(sound[:at] + rng.choice(parts) + sound[at:])
+        out.append("[" + sound[1:at] + sound[at + 1 :])
+    return out
+
+
+def test_split_arrays_equal_whole_ones(spark, tmp_path, tiny_splits):
+    texts, expected = arrays_of_all_kinds(), {}
+    for number, text in enumerate(texts):
+        try:
+            expected[number] = [(json.loads(m) if ok else None, ok) for m, ok in readers._array_members(text)]
+        except ValueError:
+            with pytest.raises(Exception, match="no array in file"):
+                write(tmp_path / f"bad{number}", "log.json", text)
+                readers.array_members(spark, str(tmp_path / f"bad{number}")).collect()
+            continue
+        write(tmp_path / "in", f"{number}.json", text)
+    found = {number: [] for number in expected}
+    for r in readers.array_members(spark, str(tmp_path / "in")).orderBy("file", "pos").collect():
+        found[int(r["file"].rsplit("/", 1)[1][:-5])].append((r["pos"], json.loads(r["record_json"]) if r["ok"] else None, r["ok"]))
+    for number, rows in expected.items():
+        assert found[number] == [(pos, *row) for pos, row in enumerate(rows)], texts[number]
+
+
+def test_one_large_array_is_read_by_all_cores(spark, tmp_path):
+    filler = "x}{\"'" * 40
+    member = json.dumps({"input_text": filler, "response_jsonl": [{"name": "a"}]})
+    n = 150_000
+    (tmp_path / "big").mkdir()
+    with open(tmp_path / "big" / "log.json", "w") as f:
+        f.write("[" + ",".join([member] * (n - 1)) + ', {"input_text": oops}]')
+    assert (tmp_path / "big" / "log.json").stat().st_size > 40_000_000
+    records = arrays.split_records(spark, str(tmp_path / "big"))
+    tasks = records.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) >= 8 and max(t["count"] for t in tasks) < 0.2 * sum(t["count"] for t in tasks)
+    figures = readers.array_members(spark, str(tmp_path / "big")).agg(
+        F.count("*"), F.count_if("ok"), F.max("pos"), F.count_distinct("record_json")
+    ).first()
+    assert tuple(figures) == (n, n - 1, n - 1, 2)
+
+
 def test_array_log_order_and_fields(spark, tmp_path):
     one = {
         "tenant_id": "t", "created_at": "2024-01-02T03:04:05", "input_text": "hi", "errors": {"x": 1},
@@ -146,9 +218,13 @@ def test_report_documents_and_audit(spark, tmp_path):
     assert [i["name"] for i in docs["a"]["items"]] == ["x", "y"] and docs["b"]["summary"]["total"] == 0
     assert writers.report_rows(back, "items").count() == 2
     log = str(tmp_path / "audit")
-    writers.append_audit(writers.run_event(spark, "run_start", "intent", None, at), log)
-    writers.append_audit(writers.run_event(spark, "run_end", "intent", "ok", at), log)
-    assert {r["event"] for r in spark.read.json(log).collect()} == {"run_start", "run_end"}
+    counts = spark.createDataFrame(
+        [("a", 5, 2)], "tenant_id string, total_messages long, messages_with_existing_detection long"
+    )
+    writers.append_audit(writers.run_started(counts, "fp", None, at), log)
+    writers.append_audit(writers.run_ended(fp_outcomes(counts, None), "fp", at), log)
+    events = {r["event"]: r for r in spark.read.json(log).collect()}
+    assert events["run_start"]["total_records"] == 5 and events["run_end"]["status"] == "ok"
 
 
 @pytest.mark.parametrize("layout", ["lines", "array"])
