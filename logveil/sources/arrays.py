@@ -35,7 +35,7 @@ _BRACKETS = np.zeros(256, np.int8)
 _BRACKETS[list(b"[{")], _BRACKETS[list(b"]}")] = 1, -1
 
 
-def split_records(spark: SparkSession, path: str) -> DataFrame:
+def split_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, at, file_size, size, text): the parts of each file between `}`, split by split in order."""
     rows = spark.read.option("lineSep", "}").text(path)
     return rows.select(
@@ -335,7 +335,7 @@ def _states(splits: DataFrame, columns: list[str]) -> Any:
     return splits.sparkSession.sparkContext.broadcast({(r[0], r[1]): tuple(r[2:]) for r in rows})
 
 
-def members(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def members(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(file, pos, record_json, ok) of all files that begin like an array, and the names of these."""
     records = split_records(spark, path)
     lexed = records.mapInPandas(

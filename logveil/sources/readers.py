@@ -21,6 +21,7 @@ from logveil.sources import arrays
 ENVELOPE_NAMES = ("logs", "records", "data", "results")
 # Fixed value: spellings of an empty JSON value, which a string can have as well.
 UNCLEAR = r"^(\[\]|\{\}|false|null|-?0(\.0*)?([eE][-+]?\d+)?)$"
+WHOLE = 16 << 20  # bytes of an array file up to which one task reads it
 # files of an array log are numbered; each gets room for this many records
 FILE_ROOM = 2**36
 
@@ -73,22 +74,35 @@ def _array_members(content: str) -> Iterator[tuple[str, bool]]:
 def array_members(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, record_json, ok) for files that each hold one JSON array.
 
-    Files are cut into byte ranges that are read side by side (see `arrays`). Only what does not begin
-    like an array is read as a whole, to tell a broken log from something that is no log.
+    Files of more than `WHOLE` bytes are cut into byte ranges that are read side by side (see `arrays`); smaller
+    ones are read as a whole, a task each, with the same result. Of the large ones only what does not begin like an
+    array is read as a whole, to tell a broken log from something that is no log.
     """
-    found, begun = arrays.members(spark, path)
-    others = stage(file_names(spark, path).join(begun, "file", "left_anti"), "other-files")
+    files = spark.read.format("binaryFile").load(path)
+    large = [row["path"] for row in files.where(F.col("length") > WHOLE).select("path").collect()]
+    small = _whole_members(files.where(F.col("length") <= WHOLE))
+    if not large:
+        return small
+    found, begun = arrays.members(spark, large)
+    others = stage(
+        files.where(F.col("length") > WHOLE)
+        .select(F.col("_metadata.file_path").alias("file"))
+        .join(begun, "file", "left_anti"),
+        "other-files",
+    )
+    found = small.unionByName(found)
     if others.isEmpty():
         return found
-    files = (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.regexp_replace(decoded(F.col("content")), "^﻿", "").alias("text"),
-        )
-        .join(others, "file", "left_semi")
+    return found.unionByName(_whole_members(files, others))
+
+
+def _whole_members(files: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The members of files that are read in one piece, of those named in `only` if it is given."""
+    texts = files.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.regexp_replace(decoded(F.col("content")), "^﻿", "").alias("text"),
     )
+    texts = texts if only is None else texts.join(only, "file", "left_semi")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,8 +115,7 @@ def array_members(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=["file", "pos", "record_json", "ok"])
 
-    whole = files.mapInPandas(split, "file string, pos bigint, record_json string, ok boolean")
-    return found.unionByName(whole)
+    return texts.mapInPandas(split, "file string, pos bigint, record_json string, ok boolean")
 
 
 def file_names(spark: SparkSession, path: str) -> DataFrame:
